@@ -70,7 +70,8 @@ def shingles(offsets: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarra
     out = np.concatenate(([0], np.cumsum(count)))
     acc = np.full(len(hashes), np.uint64(k), np.uint64)
     for i in range(k):  # position i of the run; short texts are set right below
-        acc[: len(hashes) - i] = mix64(acc[: len(hashes) - i] * np.uint64(0x9E3779B97F4A7C15) + hashes[i:])
+        m = max(0, len(hashes) - i)
+        acc[:m] = mix64(acc[:m] * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + m])
     take = np.repeat(offsets[:-1] - out[:-1], count) + np.arange(out[-1])
     found = acc[take]
     for i in np.flatnonzero((n > 0) & (n < k)):
