@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odweave.llm import decontaminate, exact_dedup, minhash, quality, toxicity
+from odweave.llm import decontaminate, exact_dedup, minhash, mixing, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,11 +49,29 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
+#: One Poisson part a source, which holds while rates are at most 32; the thresholds are summed up to 72 copies.
+OP6_SQL = """
+WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM c)::DOUBLE / ((SELECT count(*) FROM c)::DOUBLE * n) AS rate FROM c),
+d AS (
+  SELECT documents.*, r.rate,
+    ('0x' || substr(md5('mix:1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.source),
+t AS (
+  SELECT source, rate, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS cut FROM (
+    SELECT source, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, range(0, 73) AS g(k))),
+n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+    (SELECT count(*) FROM t WHERE t.source IS NOT DISTINCT FROM d.source AND t.cut <= d.u)::INT AS n_copies FROM d)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1))::INT AS copy, n_copies FROM n WHERE n_copies > 0
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op4_url_filter": op4_url_filter,
         "op5_quality_gam": op5_quality_gam,
+        "op6_mixing": op6_mixing,
         "op7_decontaminate": op7_decontaminate,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_toxicity": op9_toxicity,
@@ -53,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
