@@ -283,3 +283,15 @@ def near_duplicates(
         .join(side, "digest", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
     )
+
+
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay, one document of each component, with all their columns.
+
+    Rows that share an id are one document and stay together; rows with a NULL id stay.
+    """
+    found = near_duplicates(df, id_col, text_col, shingle, similarity).select(F.col(id_col).alias("id"), "kept")
+    drop = shared_table(found.where("id IS NOT NULL").groupBy("id").agg(F.max("kept").alias("kept")).where("NOT kept").select("id"), "dropped")
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return rows.join(side, F.col(f"row.`{id_col}`") == F.col("id"), "left_anti").select("row.*")

@@ -156,3 +156,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def clean_rows(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` that score below the threshold, with all their columns."""
+    score = score_column(fit(documents, labels))
+    return documents.where(score(F.col(f"`{text_col}`")) < threshold)
