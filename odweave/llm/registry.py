@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odweave.llm import decontaminate, exact_dedup, minhash, mixing, quality, toxicity, url_filter
+from odweave.llm import chaining, decontaminate, exact_dedup, minhash, mixing, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = f"""
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_toxicity": op9_toxicity,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
