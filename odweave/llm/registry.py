@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odweave.llm import chaining, decontaminate, exact_dedup, minhash, mixing, quality, toxicity, url_filter
+from odweave.llm import chaining, decontaminate, exact_dedup, minhash, mixing, pii, quality, secrets, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -73,6 +81,8 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1))::INT
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_pii": op3_pii,
         "op4_url_filter": op4_url_filter,
         "op5_quality_gam": op5_quality_gam,
         "op6_mixing": op6_mixing,
