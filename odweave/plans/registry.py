@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odweave.plans import flow_queries
+from odweave.plans import flow_queries, system_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(flow_queries.QUERIES)
+    return flow_queries.QUERIES | system_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(flow_queries.SQL)
+    return flow_queries.SQL | system_queries.SQL
