@@ -310,6 +310,22 @@ def voronoi_cells(sites: np.ndarray, box: tuple[float, float, float, float], whi
     return out
 
 
+def _tile_kernel(size: float, box: tuple[float, float, float, float]):
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = np.array([pdf.gx.iloc[0], pdf.gy.iloc[0]])
+        mine = np.flatnonzero((pdf.tx == g[0]) & (pdf.ty == g[1]) & pdf.want)
+        low, high = np.array(box[:2]) + (g - 1) * size, np.array(box[:2]) + (g + 2) * size
+        low[low <= box[:2]], high[high >= box[2:]] = -np.inf, np.inf
+        sites, made = pdf[["x", "y"]].to_numpy(), []
+        for i, c in zip(mine, voronoi_cells(sites, box, mine), strict=True):
+            reach = 2 * np.hypot(*(c - sites[i]).T).max() if len(c) else 0.0
+            sure = bool((sites[i] - reach >= low).all() and (sites[i] + reach <= high).all())
+            made.append((pdf.id.iloc[i], [{"x": float(p[0]), "y": float(p[1])} for p in c], sure))
+        return pd.DataFrame(made, columns=["id", "ring", "sure"])
+
+    return cells
+
+
 def voronoi(points: DataFrame, margin: float = 1.0, box: tuple[float, float, float, float] | None = None, per_tile: int = 500) -> DataFrame:
     """``(id, ring)``: the Voronoi cell of each point, clipped to the box (the points' bounds and a margin).
 
@@ -332,19 +348,7 @@ def voronoi(points: DataFrame, margin: float = 1.0, box: tuple[float, float, flo
         own = own.withColumn("tx", F.floor((F.col("x") - box[0]) / size).cast("long")).withColumn("ty", F.floor((F.col("y") - box[1]) / size).cast("long"))
         spread = own.withColumn("gx", near("tx")).withColumn("gy", near("ty"))
 
-        def cells(pdf: pd.DataFrame, size=size) -> pd.DataFrame:
-            g = np.array([pdf.gx.iloc[0], pdf.gy.iloc[0]])
-            mine = np.flatnonzero((pdf.tx == g[0]) & (pdf.ty == g[1]) & pdf.want)
-            low, high = np.array(box[:2]) + (g - 1) * size, np.array(box[:2]) + (g + 2) * size
-            low[low <= box[:2]], high[high >= box[2:]] = -np.inf, np.inf
-            sites, made = pdf[["x", "y"]].to_numpy(), []
-            for i, c in zip(mine, voronoi_cells(sites, box, mine), strict=True):
-                reach = 2 * np.hypot(*(c - sites[i]).T).max() if len(c) else 0.0
-                sure = bool((sites[i] - reach >= low).all() and (sites[i] + reach <= high).all())
-                made.append((pdf.id.iloc[i], [{"x": float(p[0]), "y": float(p[1])} for p in c], sure))
-            return pd.DataFrame(made, columns=["id", "ring", "sure"])
-
-        found = spread.groupBy("gx", "gy").applyInPandas(cells, f"id {kind}, ring array<struct<x double, y double>>, sure boolean")
+        found = spread.groupBy("gx", "gy").applyInPandas(_tile_kernel(size, box), f"id {kind}, ring array<struct<x double, y double>>, sure boolean")
         found = shared_table(found, "voronoi")
         sure = found.where("sure").select("id", "ring")
         out = sure if out is None else out.unionByName(sure)

@@ -73,10 +73,16 @@ def threshold_ratings(df: DataFrame, value: str, top: int | None = None) -> Data
 
 
 # ---- time ----
+def micros(ts: str | Column) -> Column:
+    """Microseconds of the wall clock: as written for times without a zone, in the session's zone for others."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
+
+
 def time_weights(df: DataFrame, keys: list[str], ts: str, resolution: float = 3600.0, start: float | None = None, end: float | None = None) -> DataFrame:
     """Adds ``weight``: half the time to the previous and to the next observation of the same keys, each gap clipped to
     the resolution (seconds); beyond the first and last, the start and end of the period or the resolution."""
-    t = F.unix_micros(ts) / 1e6
+    t = micros(ts) / 1e6
     w = Window.partitionBy(*keys).orderBy("_t")
     rows = df.withColumn("_t", t)
     first = F.col("_t") - F.lit(start) if start is not None else F.lit(resolution)
@@ -86,7 +92,7 @@ def time_weights(df: DataFrame, keys: list[str], ts: str, resolution: float = 36
 
 
 def day_seconds(ts: str) -> Column:
-    return F.pmod(F.unix_micros(ts) / 1e6, F.lit(DAY))
+    return F.pmod(micros(ts) / 1e6, F.lit(DAY))
 
 
 def day_profile(df: DataFrame, keys: list[str], ts: str, weight: str, bins: int = 48, sigma: float = 1800.0) -> DataFrame:
@@ -118,7 +124,7 @@ def detect_anchors(df: DataFrame, user: str, cell: str, ts: str, resolution: flo
     whether it looks like a home."""
     keys = [user, cell]
     weighted = time_weights(df, [user], ts, resolution)
-    base = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum("weight").alias("weight"), ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("timespan"))
+    base = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum("weight").alias("weight"), ((micros(F.max(ts)) - micros(F.min(ts))) / 1e6).alias("timespan"))
     night = night_index(day_profile(weighted, keys, ts, "weight"), keys)
     return base.join(circular_mean(df, keys, ts), keys).join(night, keys).withColumn("is_home", F.col("night_index") > 0)
 
@@ -126,7 +132,7 @@ def detect_anchors(df: DataFrame, user: str, cell: str, ts: str, resolution: flo
 def trajectory(df: DataFrame, keys: list[str], ts: str, x: str, y: str, step: int = 60, sigma: float = 300.0) -> DataFrame:
     """``keys, tick, x, y``: positions on a regular time grid. An observation belongs to the first tick at or after it;
     ticks are smoothed with a Gaussian of ``sigma`` seconds, cut at four of them."""
-    t = F.unix_micros(ts) / 1e6
+    t = micros(ts) / 1e6
     first = F.min("_t").over(Window.partitionBy(*keys))
     rows = df.withColumn("_t", t).withColumn("tick", F.ceil((F.col("_t") - first) / step).cast("long"))
     at = rows.groupBy(*keys, "tick").agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
