@@ -310,7 +310,6 @@ def decycled(system: System, heaviest: bool = False, rng: np.random.Generator |
             m[:, o] = m[o, :] = 0
             m[o, head] = 1
             w[head], w[o], alive[o], organic[o] = w[head] + w[o], 0, False, head
-        m[head, head] = 0
     out = system.copy()
     out.parent, out.stage = parent.copy(), np.where(alive, "N", "O")
     for o, head in organic.items():
