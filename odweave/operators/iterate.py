@@ -59,6 +59,11 @@ def _edge_digest(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+#: Up to so many edges (16 bytes each) a hub's edges may meet in one task; beyond, joins read written tables on both
+#: sides, which lets AQE split a hub's partition.
+FEW_EDGES = 2_000_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: ``(node, component)``, component = smallest node.
 
@@ -75,12 +80,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        cut = shared_table if seen[0] > FEW_EDGES else lambda df, name: df
         both = current.union(current.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = cut(large.distinct(), "edges")
         # In the small star every node has only smaller neighbours left: u > v holds in ``large``.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
         nxt = shared_table(small.distinct(), "edges")
         now = _edge_digest(nxt)
