@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import clean
+from odweave.llm.text import clean, small_batches
 
 RATE = 0.05
 BLOCK_CHARS = 4_000_000
@@ -135,6 +135,7 @@ def contamination(
     documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", rate: float = RATE
 ) -> DataFrame:
     """``(id, item id, start, end, distance)`` of every passage of a document that leaks a test item."""
+    small_batches(documents)
     id_type, item_type = documents.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type.simpleString()}, `{item_col}` {item_type.simpleString()}, start int, `end` int, distance int"
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -163,6 +164,7 @@ def contamination(
 
 def clean_rows(documents: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """The rows of ``documents`` that leak no test item, with all their columns."""
+    small_batches(documents)
     out = documents
     for items in _blocks(benchmark, id_col=item_col, text_col=text_col):
         out = out.where(~_leaks(items, rate)(F.col(f"`{text_col}`")))

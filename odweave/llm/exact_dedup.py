@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.quotient import CountingQuotientFilter
-from odweave.llm.text import clean, slices
+from odweave.llm.text import clean, slices, small_batches
 from odweave.operators.iterate import shared_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,6 +57,7 @@ def light_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     [part.column(0), pa.array(fp.view(np.int64)), pa.array(sha, pa.string())], ["id", "fp", "sha"]
                 )
 
+    small_batches(df)
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return read.mapInArrow(kernel, f"id {read.schema['id'].dataType.simpleString()}, fp long, sha string")
 

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import mix64, shingles, slices, word_hashes, words
+from odweave.llm.text import mix64, shingles, slices, small_batches, word_hashes, words
 from odweave.operators.iterate import connected_components, shared_table
 
 ROWS, BANDS, BATCH = 5, 32, 32
@@ -236,6 +236,7 @@ def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, miss: float = MISS
 ) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of every row; the component's smallest id is kept."""
+    small_batches(df)
     percent = round(100 * similarity)
     bounds = fewest_matches(similarity, BATCH, ROWS * BANDS, miss)
     id_type = df.schema[id_col].dataType.simpleString()

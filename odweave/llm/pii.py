@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import clean
+from odweave.llm.text import clean, small_batches
 from odweave.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -228,6 +228,7 @@ def _listed(spans: list[tuple[str, int, int]]) -> str:
 
 def find_pii(documents: DataFrame, found_by: Detector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``: counts and digest of the base findings, and all."""
+    small_batches(documents)
     model = found_by or detector()
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

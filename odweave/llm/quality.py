@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm import labelled
-from odweave.llm.text import clean, slices, words
+from odweave.llm.text import clean, slices, small_batches, words
 
 TRAINING_ROWS = 20_000
 BINS, COARSE, PAIRS = 32, 8, 8
@@ -187,6 +187,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
         x = np.array(table.column("x").to_pylist())
         return pa.table({"model": [json.dumps(train(x, table.column("y").to_numpy()))]})
 
+    small_batches(documents)
     sample = labelled.training_texts(documents, labels, "quality", folds, fold, rows)
     sample = sample.mapInArrow(measure, "id string, y double, x array<double>").withColumn("all", F.lit(1))
     found = sample.groupBy("all").applyInArrow(learn, "model string").first()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import clean
+from odweave.llm.text import clean, small_batches
 from odweave.llm.trees import Forest
 
 THRESHOLD = 0.5
@@ -168,6 +168,7 @@ def scanner() -> Scanner:
 
 def find_secrets(documents: DataFrame, found_by: Scanner | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """``(id, rule, start, end, score, secret_sha256)`` of every finding."""
+    small_batches(documents)
     model = found_by or scanner()
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col in documents.columns else F.lit("")
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), path.alias("path"))

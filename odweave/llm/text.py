@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Texts are worked through in pieces of about so many bytes, so a batch of very long texts stays small in memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -22,6 +23,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let the session send Arrow batches of few rows and bytes, so that executors with little memory beside the heap
+    hold only a few megabytes of texts at once. The setting stays: plans read it when they run."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def clean(texts: pa.Array) -> pa.Array:
     """NULL texts count as empty."""
     return pc.fill_null(texts, "")

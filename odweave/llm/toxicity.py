@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm import labelled
-from odweave.llm.text import mix64, slices, word_hashes, words
+from odweave.llm.text import mix64, slices, small_batches, word_hashes, words
 
 BITS = 20
 #: About so many labelled rows train the model, however many there are.
@@ -110,6 +110,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
             bias, at, w = ftrl([np.frombuffer(own[i], np.int32) for i in order], y)
         return pa.table({"bias": [bias], "at": pa.array([at], pa.list_(pa.int64())), "w": pa.array([w], pa.list_(pa.float64()))})
 
+    small_batches(documents)
     sample = labelled.training_texts(documents, labels, "toxic", folds, fold, rows)
     sample = sample.mapInArrow(sparse, "id string, y double, own binary").withColumn("all", F.lit(1))
     model = sample.groupBy("all").applyInArrow(train, "bias double, at array<long>, w array<double>").first()
