@@ -5,6 +5,7 @@ A state is ``(unit_id, region, is_core)``; each unit starts as its own region an
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,3 +180,49 @@ def stepwise(state: DataFrame, units: DataFrame, flows: DataFrame, criteria: lis
         return pd.DataFrame({"unit_id": ids, "region": [region[i] for i in ids], "is_core": [core[i] for i in ids], "stage": pd.array([stage.get(i) for i in ids], "Int32")})
 
     return both.groupBy("_one").applyInPandas(run, f"unit_id {kind}, region {kind}, is_core boolean, stage int")
+
+
+def markov_regions(flows: DataFrame, masses: DataFrame, minimum: float, direct: bool = False, strength: str = "strength") -> DataFrame:
+    """``(unit_id, region)``: the lightest region below the minimum joins the one that is reached first from it (mean
+    first passage time of the flows as a Markov chain), or with ``direct`` the one with the largest flow to it.
+
+    One task over the zoning's flow matrix, as each step needs the regions of the step before.
+    """
+    from odweave.operators.graphs import _matrix_kernel, passage_times
+
+    f = flows.groupBy("from_id", "to_id").agg(F.sum(strength).cast("double").alias("strength"))
+    m = masses.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.col("mass").cast("double").alias("mass"))
+    rows = f.withColumn("mass", F.lit(None).cast("double")).unionByName(m.withColumn("strength", F.lit(0.0))).withColumn("_one", F.lit(1))
+    kind = flows.schema["from_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, matrix = _matrix_kernel(pdf)
+        mass = pdf.dropna(subset=["mass"]).groupby("from_id").mass.sum().reindex(ids).fillna(0).to_numpy()
+        n = len(ids)
+        region = np.arange(n)
+        while True:
+            names = np.unique(region)
+            sums = np.array([mass[region == r].sum() for r in names])
+            k = int(sums.argmin())
+            if sums[k] >= minimum or len(names) < 2:
+                break
+            member = (region[:, None] == names[None, :]).astype(float)
+            grouped = member.T @ matrix @ member
+            if direct:
+                score = grouped[k].copy()
+                score[k] = -1
+                best = int(score.argmax())
+                if score[best] <= 0:
+                    best = None
+            else:
+                p = grouped + np.eye(len(names)) * (grouped.sum(1) == 0)[:, None] + 1e-12
+                t = passage_times(p / p.sum(1, keepdims=True))[k]
+                t[k] = np.inf
+                best = int(t.argmin())
+            if best is None:
+                mass[region == names[k]] = np.inf
+                continue
+            region[region == names[k]] = names[best]
+        return pd.DataFrame({"unit_id": ids, "region": [ids[r] for r in region]})
+
+    return rows.groupBy("_one").applyInPandas(run, f"unit_id {kind}, region {kind}")

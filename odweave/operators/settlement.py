@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions.columns import ratio, top_rows
-from odweave.operators.graphs import _matrix_kernel, ancestors, parent_cycles, strong_components
+from odweave.operators.graphs import _matrix_kernel, ancestors, parent_cycles, passage_times, strong_components
 
 
 # ---- relation vectors and single-step choices ----
@@ -271,6 +271,45 @@ class System:
         coef = np.where(self.stage == "A", 1 - nod, nod) * self.organicities()
         return np.where(self.stage == "A", 1.0, self.fits()) * coef
 
+    def binding_costs(self) -> np.ndarray:
+        """Costs of the model's links: own flow over the flow to the other end; among organic ends the smaller of both."""
+        d, cost = np.diag(self.m), np.full((self.n, self.n), np.inf)
+        for a, b in self.edges():
+            for i, j in ((a, b), (b, a)):
+                organic = self.stage[i] == "O" or self.stage[j] == "O"
+                flow = min(self.m[i, j], self.m[j, i]) if organic else self.m[i, j]
+                own = min(d[i], d[j]) if organic else d[i]
+                if flow > 0:
+                    cost[i, j] = max(own, 1e-12) / flow
+        return cost
+
+    def path_costs(self) -> np.ndarray:
+        """Cheapest paths over the links' binding costs, all pairs."""
+        c = self.binding_costs()
+        np.fill_diagonal(c, 0)
+        for k in range(self.n):
+            c = np.minimum(c, c[:, [k]] + c[[k], :])
+        return c
+
+    def path_fits(self) -> np.ndarray:
+        """Shares of each unit's other flows, each over one plus the cost of its path; unreachable ends count 0."""
+        stay, c = 1 - np.diag(self.p), self.path_costs()
+        share = self.p - np.diag(np.diag(self.p))
+        return (share / np.where(stay == 0, 1, stay)[:, None] / (1 + c)).sum(1)
+
+    def passage_fit(self) -> float:
+        """Weighted mean, over units, of the passage times of the chain restricted to the model's links against those of
+        all flows; 1 when the links carry everything."""
+        links = np.zeros((self.n, self.n), bool)
+        for a, b in self.edges():
+            links[a, b] = links[b, a] = True
+        np.fill_diagonal(links, True)
+        kept = np.where(links, self.m, 0) + 1e-12
+        every = self.m + 1e-12
+        own = passage_times(kept / kept.sum(1, keepdims=True))
+        all_ = passage_times(every / every.sum(1, keepdims=True))
+        return float((np.minimum(all_ / own, own / all_).mean(1) * self.unit).sum())
+
     def value(self) -> float:
         return float((self.node_values() * self.unit).sum())
 
@@ -402,6 +441,14 @@ def _graft(s: System, i: int, parent: int, stage: str) -> None:
     s.parent[i], s.stage[i] = parent, stage
 
 
+#: Values of the units of a model by criterion.
+CRITERIA = {
+    "stagestate": lambda s: s.node_values(),
+    "path": lambda s: s.path_fits(),
+    "mfpt": lambda s: np.full(s.n, s.passage_fit()),
+}
+
+
 BUILDERS = {
     "maxflow": lambda s, seed: decycled(s),
     "heaviest": lambda s, seed: decycled(s, heaviest=True),
@@ -411,7 +458,7 @@ BUILDERS = {
 }
 
 
-def build_model(flows: DataFrame, builder: str = "maxflow", strength: str = "strength", seed: int = 1) -> DataFrame:
+def build_model(flows: DataFrame, builder: str = "maxflow", strength: str = "strength", seed: int = 1, criterion: str = "stagestate") -> DataFrame:
     """``(id, parent, stage, weight, value)`` of all units; those outside the main component are autonomous.
 
     One task holds the zoning's matrix; flows are added up to one row a pair before.
@@ -430,7 +477,7 @@ def build_model(flows: DataFrame, builder: str = "maxflow", strength: str = "str
         full.stage[:] = "A"
         for i, x in enumerate(main):
             full.parent[x], full.stage[x] = main[sub.parent[i]], sub.stage[i]
-        return pd.DataFrame({"id": ids, "parent": [ids[i] for i in full.parent], "stage": full.stage, "weight": full.out, "value": full.node_values()})
+        return pd.DataFrame({"id": ids, "parent": [ids[i] for i in full.parent], "stage": full.stage, "weight": full.out, "value": CRITERIA[criterion](full)})
 
     return f.groupBy("_one").applyInPandas(run, f"id {kind}, parent {kind}, stage string, weight double, value double")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from odweave.functions import columns
-from odweave.operators import antenna, privacy, raster, roads, spatial, transfer, windows
+from odweave.operators import antenna, areas, calibrate, privacy, raster, roads, spatial, transfer, windows
 from odweave.plans.fixtures import Tables, rounded, with_ctes
 from odweave.sources import tables as sources
 
@@ -373,3 +373,93 @@ def decay_functions(t):
 def transfer_of_squares(t):
     pairs = spatial.rectangle_pairs(t.squares, t.wide_squares, 2.0).withColumnsRenamed({"a_id": "source_id", "b_id": "target_id"})
     return transfer.transfer_interactions(t.zone_flows, transfer.table_from_areas(pairs), ["strength"])
+
+
+# ---- units with areas ----
+@query("merge_areas", "u sq", "SELECT coalesce(u.id, a.id) AS id, name, region, is_core, pop, balance, x0, y0, x1, y1 FROM (SELECT * FROM u WHERE id < 20) u FULL JOIN (SELECT * FROM sq WHERE id >= 5) a ON u.id = a.id")
+def merge_areas(t):
+    return areas.merge_areas(t.units.where("id < 20"), t.squares.where("id >= 5").withColumn("name", F.lit("x")))
+
+
+@query("aggregate_units", "u", """k AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY pop DESC, id) = 1 AS l FROM u) SELECT region, sum(pop)::BIGINT AS pop, (sum(pop) FILTER (WHERE is_core))::BIGINT AS pop_core,
+ coalesce(sum(pop) FILTER (WHERE NOT is_core), 0)::BIGINT AS pop_hinterland, (sum(pop) FILTER (WHERE l))::BIGINT AS pop_largest, count(*) AS unit_count FROM k GROUP BY 1""")
+def aggregate_units(t):
+    return areas.aggregate_units(t.units, ["pop"], "pop")
+
+
+@query("dissolve_regions", "u", "SELECT region, count(*)::DOUBLE AS area, sum(pop)::BIGINT AS pop FROM u GROUP BY 1")
+def dissolve_regions(t):
+    rows = areas.dissolve_units(t.units, _rings(t.squares), ["pop"], "pop")
+    signed = F.when(F.col("is_hole"), -spatial.area("ring")).otherwise(spatial.area("ring"))
+    return rows.groupBy("region").agg(F.sum(signed).alias("area"), F.max("pop").alias("pop"))
+
+
+@query("representative_points", "ws", "SELECT id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM ws")
+def representative_points(t):
+    p = areas.representative_point("ring")
+    return _rings(t.wide_squares).select("id", p["x"].alias("x"), p["y"].alias("y"))
+
+
+@query("within_extent", "p", "SELECT id, x, y FROM p WHERE x > 0.5 AND x < 3.5 AND y > 0.5 AND y < 2.5")
+def within_extent(t):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    extent = t.spark.range(1).select(F.array(corner(0.5, 0.5), corner(3.5, 0.5), corner(3.5, 2.5), corner(0.5, 2.5)).alias("ring"))
+    return areas.within_extent(t.places, extent)
+
+
+@query("random_places_within")
+def random_places_within(t):
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    extent = t.spark.range(1).select(F.array(corner(0.0, 0.0), corner(4.0, 0.0), corner(0.0, 4.0)).alias("ring"))
+    return areas.places_within(t.spark, extent, 50, (0.0, 0.0, 4.0, 4.0))
+
+
+@query("urban_layer", "sq", "SELECT id % 5 AS layer, count(*)::DOUBLE AS area FROM sq WHERE id % 5 < 3 OR id < 10 GROUP BY 1 HAVING count(*) > 2")
+def urban_layer(t):
+    rows = _rings(t.squares).where("id % 5 < 3 OR id < 10").withColumn("layer", F.col("id") % 5)
+    return areas.urban_layer(rows, 2.0).select("layer", "area")
+
+
+@query("snap_corners", "sq", "SELECT id, 1.0::DOUBLE AS area FROM sq")
+def snap_corners(t):
+    noise = lambda p: F.struct((p["x"] + F.col("id") * 1e-4).alias("x"), p["y"].alias("y"))
+    moved = _rings(t.squares).withColumn("ring", F.transform("ring", noise))
+    return areas.snap_corners(moved, 0.2).select("id", F.round(spatial.area("ring"), 1).alias("area"))
+
+
+@query("succession_areas", "par", "up(id, ancestor) AS (SELECT id, id FROM par UNION ALL SELECT up.id, p2.parent FROM up JOIN par p2 ON p2.id = up.ancestor WHERE p2.parent IS NOT NULL) SELECT ancestor AS region, count(*)::DOUBLE AS area FROM up GROUP BY 1", recursive=True)
+def succession_areas(t):
+    from odweave.operators import graphs
+
+    pairs = graphs.ancestors(t.parents).select("id", F.col("ancestor").alias("region"))
+    rows = areas.succession_areas(pairs, _rings(t.squares))
+    signed = F.when(F.col("is_hole"), -spatial.area("ring")).otherwise(spatial.area("ring"))
+    return rows.groupBy("region").agg(F.sum(signed).alias("area"))
+
+
+@query("observation_weights", "p", "SELECT id, round(CASE WHEN x IN (0, 4) THEN 1.5 ELSE 1 END * CASE WHEN y IN (0, 4) THEN 1.5 ELSE 1 END / 36.0, 6)::DOUBLE AS weight FROM p")
+def observation_weights(t):
+    return areas.observation_weights(t.places)
+
+
+@query("clustered_weights")
+def clustered_weights(t):
+    return areas.clustered_weights(t.places, 3, 1.0)
+
+
+@query("shared_borders", "sq", "SELECT a.id AS from_id, b.id AS to_id, 1.0::DOUBLE AS length FROM sq a JOIN sq b ON a.id < b.id AND abs(a.x0 - b.x0) + abs(a.y0 - b.y0) = 1")
+def shared_borders(t):
+    return areas.shared_border_lengths(_rings(t.squares))
+
+
+@query("models_with_places", "p par", "SELECT id, parent, x, y FROM par FULL JOIN p USING (id)")
+def models_with_places(t):
+    return areas.with_places(t.parents, t.places)
+
+
+@query("source_calibration_report", "z truth", """v AS (SELECT from_id, sum(strength) AS v FROM z GROUP BY 1), c AS (SELECT from_id, sum(strength) AS c FROM truth GROUP BY 1),
+ k AS (SELECT from_id, to_id, strength * coalesce(c / nullif(v, 0)::DOUBLE, 1) AS m FROM z JOIN v USING (from_id) LEFT JOIN c USING (from_id)),
+ j AS (SELECT coalesce(a.strength, 0)::DOUBLE AS t, coalesce(m, 0) AS m FROM truth a FULL JOIN k ON a.from_id = k.from_id AND a.to_id = k.to_id) SELECT round(sum(abs(t - m)), 4) AS tae, round(2 * sum(least(t, m)) / (sum(t) + sum(m)), 6) AS cp FROM j""")
+def source_calibration_report(t):
+    model = calibrate.by_source(t.zone_flows, t.truth, "strength")
+    return calibrate.error_metrics(model, t.truth, ["from_id", "to_id"], "strength").select(F.round("tae", 4).alias("tae"), "cp")

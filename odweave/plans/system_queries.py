@@ -265,3 +265,15 @@ def network_oneway(t):
 @query("siblings_top2", "z", "SELECT from_id, to_id, strength FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY strength DESC, to_id) AS r FROM z) WHERE r <= 2")
 def siblings_top2(t):
     return top_rows(t.zone_flows, ["from_id"], "strength", "to_id", 2)
+
+
+for _c in ("path", "mfpt"):
+    query(f"hssm_criterion_{_c}")(lambda t, c=_c: settlement.build_model(t.zone_flows, criterion=c))
+
+for _n, _direct in (("markov_regions", False), ("direct_regions", True)):
+
+    def _regions(t, direct=_direct):
+        total = t.units.agg(F.sum("pop")).first()[0]
+        return regions.markov_regions(t.zone_flows, t.units.select("id", F.col("pop").alias("mass")), total / 6, direct)
+
+    query(_n)(_regions)
