@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions.columns import ratio
+from odweave.operators.iterate import shared_table
 
 DAY = 86400.0
 
@@ -15,29 +16,23 @@ DAY = 86400.0
 # ---- rank-size ----
 def zipf_exponent(df: DataFrame, value: str) -> DataFrame:
     """Weighted least squares of ln value by ln rank, weights ln value, for values above 1: one row."""
-    rank = F.row_number().over(Window.orderBy(F.col(value).desc()))
-    rows = _ranked(df, value, rank).where("v > 1").select(F.ln("r").alias("x"), F.ln("v").alias("y"), F.ln("v").alias("w"))
+    rows = global_ranks(df, value).where("v > 1").select(F.ln("rank").alias("x"), F.ln("v").alias("y"), F.ln("v").alias("w"))
     w, x, y = F.col("w"), F.col("x"), F.col("y")
     s = rows.agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * y).alias("sxy"), F.sum(w * x * x).alias("sxx"))
     slope = ratio(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
     return s.select(slope.alias("slope"), ratio(F.col("sy") - slope * F.col("sx"), "sw").alias("intercept"))
 
 
-def _ranked(df: DataFrame, value: str, rank: Column) -> DataFrame:
-    """``(v, r)``: a global rank without one task for all rows. Equal values are counted first; the running count over
-    distinct values is a window on that much smaller table, cut into ranges that are summed up before."""
-    return global_ranks(df, value).withColumnRenamed("rank", "r")
-
-
 def global_ranks(df: DataFrame, value: str, parts: int | None = None, descending: bool = True) -> DataFrame:
     """``(v, rank)`` of every row by value: rows are range-partitioned, ranked within their partition, and shifted by
-    the number of rows of the partitions before (one row a partition, on the driver side of a broadcast)."""
+    the number of rows of the partitions before (one row a partition). The partitioned rows are written once, as a
+    second sampling of the ranges could cut them elsewhere."""
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("v").desc() if descending else F.col("v").asc()
     rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").repartitionByRange(n, order)
     rows = rows.withColumn("p", F.spark_partition_id())
-    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("p").orderBy(order)))
+    rows = shared_table(rows.withColumn("own", F.row_number().over(Window.partitionBy("p").orderBy(order))), "ranks")
     sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
     return rows.join(F.broadcast(before), "p").select("v", (F.col("own") + F.col("before")).alias("rank"))
