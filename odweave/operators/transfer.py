@@ -5,7 +5,7 @@ A transfer table's first three columns are source id, target id and weight; weig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.functions.columns import ratio, share
@@ -93,7 +93,7 @@ def dasymetric_table(source_parts: DataFrame, sources: DataFrame, target_parts:
     found = parts.select("source_id", "wt_id", "part")
     lone = sources.join(found.select("source_id").distinct(), "source_id", "left_anti").select("source_id", F.lit(None).cast(found.schema["wt_id"].dataType).alias("wt_id"), F.lit(1.0).alias("part"))
     every = found.unionByName(lone)
-    n = F.count(F.lit(1)).over(_by("source_id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("source_id"))
     every = every.withColumn("sw", F.coalesce(share("part", "source_id"), 1.0 / n))
     whole = target_parts.where("area > 0")
     shared = whole.where("wt_id IS NOT NULL").select("wt_id", "target_id", share("area", "wt_id").alias("tw"))
@@ -102,9 +102,3 @@ def dasymetric_table(source_parts: DataFrame, sources: DataFrame, target_parts:
     rows = rows.unionByName(every.where("wt_id IS NULL").join(own, "source_id").select("source_id", "target_id", (F.col("sw") * F.col("tw")).alias("w")))
     sums = rows.groupBy("source_id", "target_id").agg(F.sum("w").alias("w"))
     return sums.select("source_id", "target_id", share("w", "source_id").alias("weight"))
-
-
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)

@@ -7,8 +7,6 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odweave.sources.tables import points  # noqa: F401  (point layers are built the same way from files)
-
 
 class Tables:
     """Lazy frames over one data folder."""
