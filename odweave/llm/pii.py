@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import clean, small_batches
+from odweave.llm.text import Chosen, clean, small_batches
 from odweave.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -201,12 +201,10 @@ class Detector:
         if not rows:
             return base, base
         margin = self.model.margin(np.array([features(text, *r) for r in rows], float))
-        chosen: list[tuple[int, int]] = []
-        added = []
+        chosen, added = Chosen(), []
         for i in np.argsort(-margin, kind="stable"):
             kind, a, b = rows[i]
-            if margin[i] >= self.thresholds[kind] and all(b <= x or y <= a for x, y in chosen):
-                chosen.append((a, b))
+            if margin[i] >= self.thresholds[kind] and chosen.take(a, b):
                 added.append((kind, a, b))
         return base, sorted([*base, *added], key=lambda s: (_ALL_KINDS.index(s[0]), s[1], s[2]))
 

@@ -77,6 +77,20 @@ n AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n_copies + 1))::INT AS copy, n_copies FROM n WHERE n_copies > 0
 """
 
+#: All pairs that share a shingle, by brute force.
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+p AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.id)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+FROM documents JOIN r ON r.id = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -94,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL}

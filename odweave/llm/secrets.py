@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import clean, small_batches
+from odweave.llm.text import Chosen, clean, small_batches
 from odweave.llm.trees import Forest
 
 THRESHOLD = 0.5
@@ -153,9 +153,10 @@ class Scanner:
         if not found:
             return out
         score = self.forest.score(np.array([features(*rows[i], rule, a, b) for i, rule, a, b in found], float))
+        chosen = [Chosen() for _ in rows]
         for k in np.argsort(-score, kind="stable"):
             i, rule, a, b = found[k]
-            if score[k] >= self.threshold and all(b <= x or y <= a for _, x, y, _ in out[i]):
+            if score[k] >= self.threshold and chosen[i].take(a, b):
                 out[i].append((rule, a, b, float(score[k])))
         return [sorted(own, key=lambda f: f[1]) for own in out]
 

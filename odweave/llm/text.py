@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Chosen:
+    """Spans that do not overlap: takes each span that leaves the ones before it alone."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def take(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        if i and self.ends[i - 1] > start:
+            return False
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def small_batches(df: DataFrame) -> None:
     """Let the session send Arrow batches of few rows and bytes, so that executors with little memory beside the heap
     hold only a few megabytes of texts at once. The setting stays: plans read it when they run."""
