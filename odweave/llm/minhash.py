@@ -186,7 +186,7 @@ def _block_kernel(bounds: list[int], percent: int, id_type: pa.DataType):
         _, comp, size = np.unique(np.array(table.column("comp").to_pylist()), return_inverse=True, return_counts=True)
         root = np.arange(len(size))
         out = []
-        order = np.argsort(size[comp], kind="stable")  # members of the largest component need not ask
+        order = np.lexsort((comp, size[comp]))  # one component, the last of the largest, need not ask
         for i in order[: n - size.max()]:
             alive = np.flatnonzero(root[comp] != root[comp[i]])
             found = np.zeros(len(alive), np.int64)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert got == brute(rows, 4, 80)
 
 
+@pytest.mark.parametrize("comps", [[0, 1, 0, 1], [0, 1, 2, 2, 1, 0], [1, 0, 0, 2, 1, 2, 3]])
+def test_block_of_tied_components_finds_every_single_link(comps):
+    """Components of equal size, their rows interleaved, with a link between any one pair of rows."""
+    bounds = minhash.fewest_matches(0.8, minhash.BATCH, minhash.ROWS * minhash.BANDS, 1e-6)
+    kernel = minhash._block_kernel(bounds, 80, pa.int64())
+    factors = minhash._multipliers(minhash.ROWS * minhash.BANDS)
+    for a in range(len(comps)):
+        for b in range(a + 1, len(comps)):
+            sets = [np.arange(50, dtype=np.uint64) * np.uint64(7919) + np.uint64(10**6 * (a if i == b else i)) for i in range(len(comps))]
+            signatures = [minhash.signature(s, factors).tobytes() for s in sets]
+            found = kernel(pa.table({"rep": list(range(len(comps))), "comp": comps, "items": [s.tobytes() for s in sets], "sig": signatures}))
+            got = {tuple(sorted(p)) for p in zip(*found.to_pydict().values(), strict=True)}
+            assert got == ({(a, b)} if comps[a] != comps[b] else set())
+
+
 def test_posterior_bounds_keep_borderline_pairs():
     bounds = minhash.fewest_matches(0.8, 32, 160, 1e-6)
     assert bounds == sorted(bounds) and bounds[-1] < 0.8 * 160
