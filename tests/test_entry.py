@@ -1,9 +1,12 @@
 """The entry points, with and without the optional subpackage."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -20,17 +23,24 @@ def test_names_match():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_works_without_the_optional_parts(tmp_path):
-    """A copy of the repository without those folders still imports and lists its own queries."""
+def _copy(folder, without):
     for p in ROOT.iterdir():
-        if p.name not in {".git", "tests", "corpus_pipeline.py", "odweave"}:
-            (tmp_path / p.name).symlink_to(p)
-    (tmp_path / "odweave").mkdir()
+        if p.name not in {".git", "tests", "odweave", *without}:
+            (folder / p.name).symlink_to(p)
+    (folder / "odweave").mkdir()
     for p in (ROOT / "odweave").iterdir():
         if p.name != "llm":
-            (tmp_path / "odweave" / p.name).symlink_to(p)
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not [n for n in q if n.startswith('op') and n[2].isdigit()], q; print(len(q))"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120)
+            (folder / "odweave" / p.name).symlink_to(p)
+
+
+@pytest.mark.parametrize("without", [(), ("corpus_pipeline.py",)])
+@pytest.mark.parametrize("path", ["", str(ROOT)])
+def test_works_without_the_optional_parts(tmp_path, without, path):
+    """A copy without the subpackage still imports and lists its own queries, with this repository on the path or not."""
+    _copy(tmp_path, without)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and set(e.oracle_sql()) <= set(q); assert 'pipeline' not in q and not [n for n in q if n.startswith('op') and n[2].isdigit()], q"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": path} if path else {})
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=120, env=env)
 
 
 def test_nothing_else_imports_the_optional_subpackage():
