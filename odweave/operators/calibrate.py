@@ -2,58 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.functions.columns import ratio
 from odweave.operators.iterate import drop_shared, shared_table
+from odweave.operators.windows import value_counts
 
 
 def by_source(flows: DataFrame, truth: DataFrame, field: str, self_flows: bool = False) -> DataFrame:
     """Scale each row so that its source's sum meets the truth's; sources without truth stay.
 
     With ``self_flows`` the key is (source, is self flow). ``truth`` has ``from_id, to_id`` and the field, or only
-    ``from_id`` and the field. The sums of the flows are a window, so only the small truth is joined.
+    ``from_id`` and the field. The sums fold before their shuffle to one factor a source, which joins the flows, so a
+    large source's flows never have to meet.
     """
     keys = ["from_id", "is_self"] if self_flows else ["from_id"]
     rows = flows.withColumn("is_self", F.col("from_id") == F.col("to_id"))
     if self_flows and "is_self" not in truth.columns:
         truth = truth.withColumn("is_self", F.col("from_id") == F.col("to_id"))
     target = truth.groupBy(*keys).agg(F.sum(field).alias("_t"))
-    rows = rows.withColumn("_v", F.sum(field).over(Window.partitionBy(*keys))).join(target, keys, "left")
-    factor = F.coalesce(ratio("_t", "_v"), F.lit(1.0))
-    return rows.withColumn(field, F.col(field) * factor).drop("_v", "_t", "is_self")
+    factors = rows.groupBy(*keys).agg(F.sum(field).alias("_v")).join(target, keys).select(*keys, ratio("_t", "_v").alias("_f"))
+    return rows.join(factors, keys, "left").withColumn(field, F.col(field) * F.coalesce("_f", F.lit(1.0))).select(*flows.columns)
 
 
 def fit_margins(cells: DataFrame, rows: DataFrame, cols: DataFrame, sweeps: int | None = None, tol: float = 1e-9, limit: int = 100) -> DataFrame:
     """Iterative proportional fitting of sparse cells ``(from_id, to_id, value)`` to ``rows (from_id, total)`` and
-    ``cols (to_id, total)``; a closing sweep fits the rows. Missing margins are 0, zero sums divide by 1.
+    ``cols (to_id, total)``; a closing sweep fits the rows. Missing margins are 0, zero sums divide by 1, cells with a
+    NULL id fall out.
 
-    Every half sweep is one window over a margin. With ``sweeps`` the plan is unrolled and lazy; otherwise each
-    sweep is written to the shared folder and the loop ends when cells stop moving.
+    The fitted cell is its value times a factor of its row and one of its column. A half sweep is one aggregation of
+    the cells, times the other side's factors, so only factors (one a unit) are made again and again. With ``sweeps``
+    the plan is unrolled and lazy; otherwise the factors of each sweep are written to the shared folder, and the loop
+    ends when cells stop moving.
     """
-    cells = cells.join(rows.select("from_id", F.col("total").cast("double").alias("_r")), "from_id", "left")
-    cells = cells.join(cols.select("to_id", F.col("total").cast("double").alias("_c")), "to_id", "left").na.fill(0.0, ["_r", "_c"])
-    cells = cells.select("from_id", "to_id", F.col("value").cast("double").alias("value"), "_r", "_c")
+    cells = cells.select("from_id", "to_id", F.col("value").cast("double").alias("value")).where("from_id IS NOT NULL AND to_id IS NOT NULL")
+    margins = {"from_id": rows, "to_id": cols}
 
-    def scale(df: DataFrame, key: str, margin: str) -> DataFrame:
-        s = F.sum("value").over(Window.partitionBy(key))
-        return df.withColumn("_s", s).withColumn("value", F.col("value") * F.col(margin) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).drop("_s")
+    def factors(key: str, other: str, fitted: DataFrame | None) -> DataFrame:
+        """``(key, f)`` from the factors of the other side."""
+        own = cells if fitted is None else cells.join(fitted, other).withColumn("value", F.col("value") * F.col("f"))
+        sums = own.groupBy(key).agg(F.sum("value").alias("_s")).join(margins[key].select(key, F.col("total").cast("double").alias("_t")), key, "left")
+        return sums.select(key, (F.coalesce("_t", F.lit(0.0)) / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s"))).alias("f"))
 
+    def fitted(by_row: DataFrame, by_col: DataFrame) -> DataFrame:
+        both = cells.join(by_row.withColumnRenamed("f", "_a"), "from_id").join(by_col.withColumnRenamed("f", "_b"), "to_id")
+        return both.select("from_id", "to_id", (F.col("value") * F.col("_a") * F.col("_b")).alias("value"))
+
+    by_col = None
     if sweeps is not None:
         for _ in range(sweeps):
-            cells = scale(scale(cells, "from_id", "_r"), "to_id", "_c")
+            by_col = factors("to_id", "from_id", factors("from_id", "to_id", by_col))
     else:
-        current = shared_table(cells.withColumn("old", F.col("value")), "ipf")
+        last = None
         for _ in range(limit):
-            nxt = scale(scale(current.withColumn("old", F.col("value")), "from_id", "_r"), "to_id", "_c")
-            nxt = shared_table(nxt, "ipf")
-            drop_shared(current)
-            current = nxt
-            if (current.agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0] or 0.0) <= tol:
+            by_row = shared_table(factors("from_id", "to_id", by_col), "ipf")
+            by_col = shared_table(factors("to_id", "from_id", by_row), "ipf")
+            new = fitted(by_row, by_col)
+            old = cells.select("from_id", "to_id", F.col("value").alias("old")) if last is None else fitted(*last).withColumnRenamed("value", "old")
+            moved = new.join(old, ["from_id", "to_id"]).agg(F.sum(F.abs(F.col("value") - F.col("old")))).first()[0]
+            if last is not None:
+                drop_shared(*last)
+            last = by_row, by_col
+            if (moved or 0.0) <= tol:
                 break
-        cells = current.drop("old")
-    return scale(cells, "from_id", "_r").select("from_id", "to_id", "value")
+    closing = factors("from_id", "to_id", by_col)
+    return fitted(closing, by_col) if by_col is not None else cells.join(closing, "from_id").select("from_id", "to_id", (F.col("value") * F.col("f")).alias("value"))
 
 
 def by_margins(flows: DataFrame, truth: DataFrame, field: str, sweeps: int | None = None) -> DataFrame:
@@ -81,8 +95,10 @@ def log_ols(df: DataFrame, x: str, y: str, bound: float = 0.1) -> DataFrame:
     return rows.agg(F.regr_slope("ly", "lx").alias("slope"), F.regr_intercept("ly", "lx").alias("intercept"))
 
 
-def lad(df: DataFrame, x: str, y: str, tol: float = 1e-9, floor: float = 1e-3, intercept: bool = False, limit: int = 200) -> tuple[float, float]:
-    """Least absolute deviations by reweighted least squares: a loop of global sums, with two scalars on the driver."""
+def lad(df: DataFrame, x: str, y: str, tol: float = 1e-9, floor: float = 1e-3, intercept: bool = False, limit: int = 1000) -> tuple[float, float]:
+    """Least absolute deviations by reweighted least squares: a loop of global sums, with two scalars on the driver.
+
+    It ends when the relative error stops moving; if that takes more than ``limit`` rounds, it is an error."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     total = rows.agg(F.sum("y")).first()[0] or 1.0
     slope, base, last = 0.0, 0.0, None
@@ -93,7 +109,7 @@ def lad(df: DataFrame, x: str, y: str, tol: float = 1e-9, floor: float = 1e-3, i
         if s[0] is None:
             return 0.0, 0.0
         if i and last is not None and abs(last - s[5] / total) < tol:
-            break
+            return slope, base
         last = s[5] / total if i else None
         if intercept:
             den = s[0] * s[4] - s[1] * s[1]
@@ -101,7 +117,7 @@ def lad(df: DataFrame, x: str, y: str, tol: float = 1e-9, floor: float = 1e-3, i
             base = (s[2] - slope * s[1]) / s[0]
         else:
             slope = s[3] / s[4] if s[4] else 0.0
-    return slope, base
+    raise RuntimeError(f"least absolute deviations did not settle in {limit} rounds")
 
 
 def log_lad(df: DataFrame, x: str, y: str, bound: float = 0.1) -> tuple[float, float]:
@@ -143,13 +159,25 @@ def calibrate_all(flows: DataFrame, truth: DataFrame, field: str, methods: tuple
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """Minimum, maximum, sum, mean, median and percentiles (linear interpolation) in one pass."""
-    v = F.col(value).cast("double")
+    """Minimum, maximum, sum, mean, median and percentiles (linear interpolation between neighbours in rank).
+
+    Percentiles are read off the running counts of distinct values, so no buffer holds all values.
+    """
     levels = (0.025, 0.1, 0.25, 0.5, 0.75, 0.9, 0.975)
     names = ("p2_5", "p10", "p25", "median", "p75", "p90", "p97_5")
-    q = F.percentile(v, F.array(*[F.lit(p) for p in levels]))
-    row = df.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), q.alias("q"))
-    return row.select("min", "max", "sum", "mean", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    counts = value_counts(df, value, descending=False)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (F.col("before") + F.col("n") > rank), F.col("v")))
+
+    def percentile(level: float) -> Column:
+        place = level * max(0, total - 1)
+        low = int(place)
+        return at(low) + (at(min(low + 1, max(0, total - 1))) - at(low)) * (place - low)
+
+    weighted = F.sum(F.col("v") * F.col("n"))
+    return counts.agg(F.min("v").alias("min"), F.max("v").alias("max"), weighted.alias("sum"), ratio(weighted, F.sum("n")).alias("mean"), *[percentile(p).alias(n) for p, n in zip(levels, names, strict=True)])
 
 
 def error_metrics(model: DataFrame, truth: DataFrame, keys: list[str], field: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from odweave.functions.columns import share, top_rows
+from odweave.functions.columns import ratio, top_rows
 from odweave.operators.iterate import connected_components, drop_shared, shared_table
 
 
@@ -73,7 +74,8 @@ def min_closure(edges: DataFrame, product: bool = False, value: str = "cost", ma
 
 
 def transition_probabilities(flows: DataFrame, strength: str = "strength") -> DataFrame:
-    return flows.withColumn("p", share(strength, "from_id"))
+    sums = flows.groupBy("from_id").agg(F.sum(strength).alias("_out"))  # one row a source
+    return flows.join(sums, "from_id", "left").select(*flows.columns, ratio(strength, "_out").alias("p"))
 
 
 def _matrix_kernel(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
@@ -235,10 +237,15 @@ def cheapest(graph: dict, source, goals: set) -> dict:
     return out
 
 
-def _relaxed(net: DataFrame, wanted: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _relaxed(net: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Cheapest paths, one edge a round, until no distance falls. A path of least cost has fewer edges than there are
+    nodes, so distances that fall beyond that are an error (a cycle of negative cost)."""
+    nodes = net.select("a").union(net.select("b")).distinct().count()
     dist = shared_table(wanted.select(F.col("from_node").alias("s"), F.col("from_node").alias("x"), F.lit(0.0).alias("d")).distinct(), "routes")
     front = dist
-    for _ in range(max_rounds):
+    for hops in itertools.count():
+        if hops > nodes:
+            raise ValueError("the network has a cycle of negative cost")
         step = front.join(net, front.x == net.a).groupBy("s", F.col("b").alias("x")).agg(F.min(F.col("d") + F.col("c")).alias("d"))
         merged = step.join(dist.withColumnRenamed("d", "old"), ["s", "x"], "full")
         merged = shared_table(merged.select("s", "x", F.least("d", "old").alias("d"), F.coalesce(F.col("d") < F.coalesce("old", F.lit(float("inf"))), F.lit(False)).alias("new")), "routes")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is set (local tests) a temporary
-    folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is set and the master is local (tests) a
+    temporary folder of this machine is taken: executors of a cluster would not see it.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -22,6 +22,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='odweave-checkpoint-')}"
     sc.setCheckpointDir(folder)
     return folder
@@ -59,17 +61,17 @@ def _settled(edges: DataFrame) -> bool:
     return per.where("up > 1 OR (up = 1 AND n > 1)").count() == 0
 
 
-#: Up to so many edges (16 bytes each) a hub's edges may meet in one task; beyond, joins read written tables on both
-#: sides, which lets AQE split a hub's partition.
-FEW_EDGES = 2_000_000
+#: Up to so many nodes (16 bytes each) the smallest neighbours are broadcast; beyond, the joins shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: ``(node, component)``, component = smallest node.
 
     Alternating large-star and small-star rounds, until all edges point from a node to its component: every round is
-    two shuffled aggregations and two joins of the edge list on a node, so no component is gathered in one task and a
-    hub's edges are split by AQE. Nodes without any edge are not listed; self edges list their node; edges with a NULL
+    two aggregations, which fold a hub's edges before the shuffle, and two joins of the edge list with one row a node.
+    These rows are broadcast up to a checked number; beyond, both sides are read from tables, so that AQE splits a hub.
+    No component is gathered in one task either way. Nodes without any edge are not listed; self edges list their node; edges with a NULL
     end are ignored.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
@@ -77,18 +79,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     current = shared_table(
         pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    cut = shared_table if current.count() > FEW_EDGES else lambda df, name: df
+    # Rounds never add edges, so the first count bounds the nodes of all.
+    small = 2 * current.count() <= BROADCAST_ROWS
+
+    def node_rows(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else shared_table(df, "low")
+
+    def edge_rows(df: DataFrame) -> DataFrame:
+        return df if small else shared_table(df, "edges")
+
     for _ in range(max_rounds):
         if _settled(current):
             break
         both = current.union(current.select("v", "u"))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = node_rows(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct(), "edges")
+        large = edge_rows(large.distinct())
         # In the small star every node has only smaller neighbours left: u > v holds in ``large``.
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        nxt = shared_table(small.distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = node_rows(least)
+        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        nxt = shared_table(star.distinct(), "edges")
         drop_shared(current)
         current = nxt
     else:

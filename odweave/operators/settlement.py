@@ -31,10 +31,10 @@ def relation_vectors(flows: DataFrame, strength: str = "strength") -> DataFrame:
 
 def flow_weighting(flows: DataFrame, strength: str = "strength") -> DataFrame:
     """Each non-self flow's share of its source, times the source's share of everything."""
-    rows = flows.withColumn("_out", F.sum(strength).over(Window.partitionBy("from_id")))
+    others = F.when(F.col("from_id") != F.col("to_id"), F.col(strength))
+    sums = flows.groupBy("from_id").agg(F.sum(strength).alias("_out"), F.sum(others).alias("_no"))  # one row a source
     total = flows.agg(F.sum(strength).alias("_all"))
-    rows = rows.where("from_id <> to_id").withColumn("_no", F.sum(strength).over(Window.partitionBy("from_id")))
-    rows = rows.join(F.broadcast(total))  # one row
+    rows = flows.where("from_id <> to_id").join(sums, "from_id").join(F.broadcast(total))  # one row
     return rows.select("from_id", "to_id", (ratio(strength, "_no") * ratio("_out", "_all")).alias("weighting"))
 
 
@@ -321,14 +321,15 @@ def argmax_parents(m: np.ndarray, rng: np.random.Generator | None = None) -> np.
     return np.array([rng.choice(len(f), p=r / r.sum()) if r.sum() else int(np.argmax(r)) for r in f])
 
 
-def decycled(system: System, heaviest: bool = False, rng: np.random.Generator | None = None, rounds: int = 1000) -> System:
+def decycled(system: System, heaviest: bool = False, rng: np.random.Generator | None = None) -> System:
     """Max-flow parents, where cycles other than the root's are contracted one by one into their heaviest member.
 
-    The lightest cycle goes first (or the heaviest). Contracted members become organic units of their head.
+    The lightest cycle goes first (or the heaviest). Contracted members become organic units of their head. Every round
+    takes a unit away at least, so the loop ends when no cycle is left.
     """
     m, w = system.m.astype(float).copy(), system.weights.astype(float).copy()
     alive, organic = np.ones(system.n, bool), {}
-    for _ in range(rounds):
+    while True:
         sums = np.where(alive, m.sum(1), -1)
         root = int(sums.argmax()) if rng is None else int(rng.choice(system.n, p=np.clip(sums, 0, None) / np.clip(sums, 0, None).sum()))
         parent = argmax_parents(m, rng)

@@ -23,19 +23,34 @@ def zipf_exponent(df: DataFrame, value: str) -> DataFrame:
     return s.select(slope.alias("slope"), ratio(F.col("sy") - slope * F.col("sx"), "sw").alias("intercept"))
 
 
-def global_ranks(df: DataFrame, value: str, parts: int | None = None, descending: bool = True) -> DataFrame:
-    """``(v, rank)`` of every row by value: rows are range-partitioned, ranked within their partition, and shifted by
-    the number of rows of the partitions before (one row a partition). The partitioned rows are written once, as a
+def value_counts(df: DataFrame, value: str, parts: int | None = None, descending: bool = True) -> DataFrame:
+    """``(v, n, before)``: the distinct values, their rows, and the rows of all values before them.
+
+    Equal values fold before any shuffle. Distinct values are range-partitioned, summed up within their partition, and
+    shifted by the rows of the partitions before (one row a partition). The partitioned rows are written once, as a
     second sampling of the ranges could cut them elsewhere."""
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("v").desc() if descending else F.col("v").asc()
-    rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").repartitionByRange(n, order)
-    rows = rows.withColumn("p", F.spark_partition_id())
-    rows = shared_table(rows.withColumn("own", F.row_number().over(Window.partitionBy("p").orderBy(order))), "ranks")
-    sizes = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "p").select("v", (F.col("own") + F.col("before")).alias("rank"))
+    rows = df.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.repartitionByRange(n, order).withColumn("p", F.spark_partition_id())
+    rows = shared_table(rows.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy(order))), "ranks")
+    sizes = rows.groupBy("p").agg(F.sum("n").alias("m"))
+    shift = sizes.select("p", (F.sum("m").over(Window.orderBy("p")) - F.col("m")).alias("shift"))
+    return rows.join(F.broadcast(shift), "p").select("v", "n", (F.col("upto") - F.col("n") + F.col("shift")).alias("before"))
+
+
+#: Ranks of one value that are made in one go.
+RANK_STEP = 10_000
+
+
+def global_ranks(df: DataFrame, value: str, parts: int | None = None, descending: bool = True) -> DataFrame:
+    """``(v, rank)`` of every row by value: the running counts of distinct values, each spread over its rows' ranks; the
+    ranks of a frequent value are dealt out in pieces."""
+    counts = value_counts(df, value, parts, descending)
+    pieces = counts.select("v", "n", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANK_STEP).cast("long"))).alias("low"))
+    pieces = pieces.repartition("v", "low")
+    last = F.least(F.col("low") + RANK_STEP, F.col("n"))
+    return pieces.select("v", F.explode(F.sequence(F.col("before") + F.col("low") + 1, F.col("before") + last)).alias("rank"))
 
 
 def zipf_gaps(df: DataFrame, value: str, exponent: float = -1.0, spread: int = 5) -> DataFrame:
