@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +54,17 @@ def clean(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts pass SLICE_BYTES; every piece has one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its texts pass ``limit`` bytes (SLICE_BYTES); every piece has one row at least."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
     total = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+    limit = limit or SLICE_BYTES
     start = 0
     while start < batch.num_rows:
         done = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, done + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(total, done + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -86,6 +88,64 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return table[coded.indices.to_numpy()] if n else np.zeros(0, np.uint64)
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    byte = np.arange(256, dtype=np.uint64)
+    space = (byte == 0x20) | ((byte >= 0x09) & (byte <= 0x0D))
+    folded = np.where((byte >= 0x41) & (byte <= 0x5A), byte + 0x20, byte)
+    return space, mix64((folded + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_SPACE, _VALUE = _tables()
+#: Base of the words' polynomial hashes, and its inverse modulo 2**64.
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(1 << bits, b, np.uint64)))) for b in (_BASE, _INVERSE))
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``size``, or more, of the base and of its inverse."""
+    return _powers(max(20, size.bit_length()))
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of each text's words (n + 1 of them) and the 64-bit hashes of all folded words, one after another.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the buffer, so no word becomes an object.
+    """
+    texts = clean(texts)
+    n = len(texts)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    if n == 0 or ends[-1] == ends[0]:
+        return np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    inside = ~_SPACE[data]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    first, last = ends[:-1][ends[1:] > ends[:-1]], ends[1:][ends[1:] > ends[:-1]] - 1
+    opens[first] = inside[first]
+    closes[last] = inside[last]
+    start, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    out = np.zeros(len(start), np.uint64)
+    done = 0
+    while done < len(start):  # the words that begin in the next stretch of bytes
+        low = int(start[done])
+        to = max(done + 1, int(np.searchsorted(start, low + SLICE_BYTES)))
+        high = int(stop[to - 1])
+        up, down = powers(high - low)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[data[low:high]] * up[: high - low], dtype=np.uint64)))
+        own = slice(done, to)
+        out[own] = mix64((sums[stop[own] - low] - sums[start[own] - low]) * down[start[own] - low])
+        done = to
+    return np.searchsorted(start, ends), out
+
+
 def shingles(offsets: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and hashes of each text's runs of ``k`` words, in text order, repeats included.
 
