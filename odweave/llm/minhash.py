@@ -5,23 +5,24 @@ Documents are linked when the Jaccard similarity of their sets of word shingles
 
 1. One pass over the texts gives each document's set size, a 128-bit digest of its set, and a MinHash signature.
    Documents with equal sets fold to one class (a hash aggregate, so copies never meet in one task).
-2. Bands of the classes' signatures form buckets. Bucket members pair with the smallest, later with the largest
-   member only: a number of pairs in proportion to the members.
+2. Bands of the classes' signatures form buckets. Bucket members pair with the smallest and the largest member only: a
+   number of pairs in proportion to the members.
 3. Pairs are compared in batches of signature positions. After every batch a pair is dropped once the posterior
    probability (uniform prior) that its similarity reaches the threshold is below ``miss``. Survivors are
    verified on their full sets.
 4. Buckets that still hold members of several components are resolved completely: the candidate clusters they
-   form are cut into blocks of bounded size (by bytes of their sets), and every two blocks that can still link
-   components meet in one task, which prunes by the same posterior, verifies exactly, and returns only links that
-   join components. Pairs already in one component need no test: no link between components is lost.
+   form are cut into blocks of bounded size (by bytes of their sets), and every two blocks that have members of one
+   such bucket and can still link components meet in one task, which prunes by the same posterior, verifies exactly,
+   and returns only links that join components. Pairs already in one component need no test: no link between
+   components is lost.
 
 ``rows`` times ``bands`` fixes the chance that a link shares no band: (1 - s**rows)**bands, 3e-6 at similarity
 0.8 with 5 and 32, less above.
 
 Defined cases: NULL and wordless texts have the empty set (size 0) and link with nothing; a text of fewer words
-than a shingle has its whole sequence as one shingle; a row with a NULL id keeps a NULL component of its own
-unless its set is shared or linked; ids are meant to be unique, and a repeated id's rows each get the component of
-their own text. Only the id and text columns are read.
+than a shingle has its whole sequence as one shingle; classes have numbers of their own, so rows with a NULL id link
+and are linked through like others, get the smallest id of their component, and keep NULL where it has none; a repeated
+id's rows each get the component of their own text. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odweave.llm.text import mix64, shingles, slices, small_batches, word_hashes, words
-from odweave.operators.iterate import connected_components, shared_table
+from odweave.llm.text import hashed_words, mix64, shingles, slices, small_batches
+from odweave.operators.iterate import connected_components, drop_shared, shared_table
 
 ROWS, BANDS, BATCH = 5, 32, 32
 #: A side up to this number of narrow rows is broadcast; beyond it the join shuffles.
@@ -92,8 +93,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                offsets, flat = words(part.column(1))
-                at, every = shingles(offsets, word_hashes(flat), k)
+                at, every = shingles(*hashed_words(part.column(1)), k)
                 sizes, digests, signatures = [], [], []
                 for i in range(part.num_rows):
                     own = np.unique(every[at[i] : at[i + 1]])
@@ -109,7 +109,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return read.mapInArrow(kernel, f"id {read.schema['id'].dataType.simpleString()}, n long, digest binary, sig binary")
 
 
-def _banded(classes: DataFrame, id_type: str) -> DataFrame:
+def _banded(classes: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -120,9 +120,9 @@ def _banded(classes: DataFrame, id_type: str) -> DataFrame:
             for r in range(ROWS):
                 key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), ids], ["key", "c"])
 
-    return classes.select("rep", "sig").mapInArrow(kernel, f"key long, rep {id_type}")
+    return classes.select("c", "sig").mapInArrow(kernel, "key long, c long")
 
 
 def _may_link(bounds: list[int]):
@@ -151,36 +151,51 @@ def _verified(percent: int):
     return F.arrow_udf(kernel, "boolean")
 
 
-def _sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: int, id_type: str) -> DataFrame:
+def _sets(df: DataFrame, needed: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``(c, items)``: the full set of each needed class ``(c, rep, digest)``, from the texts of its smallest id."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                offsets, flat = words(part.column(1))
-                at, every = shingles(offsets, word_hashes(flat), k)
-                sets = [np.unique(every[at[i] : at[i + 1]]).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "items"])
-
+                at, every = shingles(*hashed_words(part.column(1)), k)
+                rows, sets, digests = [], [], []
+                wanted = part.column(2).to_pylist()
+                for i in range(part.num_rows):
+                    own = np.unique(every[at[i] : at[i + 1]]).tobytes()
+                    digest = xxhash.xxh3_128_digest(own)
+                    if wanted[i] is None or wanted[i] == digest:  # an id may repeat with another text
+                        rows.append(i)
+                        sets.append(own)
+                        digests.append(digest)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["c", "digest", "items"])
+
+    kind = "c long, digest binary, items binary"
     side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    read = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(side, "rep", "left_semi")
-    return read.mapInArrow(kernel, f"rep {id_type}, items binary")
+    read = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    found = read.join(side.where("rep IS NOT NULL"), "rep").select("c", "text", "digest").mapInArrow(kernel, kind).select("c", "items")
+    nameless = needed.where("rep IS NULL").select("c", "digest")
+    if not nameless.isEmpty():  # classes of NULL ids alone are found by their digests
+        texts = read.where("rep IS NULL").select(F.lit(None).cast("long").alias("c"), "text", F.lit(None).cast("binary").alias("digest"))
+        found = found.unionByName(texts.mapInArrow(kernel, kind).select("digest", "items").join(nameless, "digest").select("c", "items"))
+    return found.dropDuplicates(["c"])
 
 
 def _test(pairs: DataFrame, classes: DataFrame, sets: DataFrame, bounds: list[int], percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that link: posterior pruning on signatures, then the full sets."""
 
     def both(table: DataFrame, value: str, on: DataFrame) -> DataFrame:
-        one = table.select(F.col("rep").alias("a"), F.col(value).alias("xa"))
-        two = table.select(F.col("rep").alias("b"), F.col(value).alias("xb"))
+        one = table.select(F.col("c").alias("a"), F.col(value).alias("xa"))
+        two = table.select(F.col("c").alias("b"), F.col(value).alias("xb"))
         return on.join(one, "a").join(two, "b")
 
     alive = both(classes, "sig", pairs).where(_may_link(bounds)("xa", "xb")).select("a", "b")
     return both(sets, "items", alive).where(_verified(percent)("xa", "xb")).select("a", "b")
 
 
-def _block_kernel(bounds: list[int], percent: int, id_type: pa.DataType):
+def _block_kernel(bounds: list[int], percent: int):
     def kernel(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        ids = table.column("rep").to_pylist()
+        ids = table.column("c").to_pylist()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, -1)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         _, comp, size = np.unique(np.array(table.column("comp").to_pylist()), return_inverse=True, return_counts=True)
@@ -200,17 +215,17 @@ def _block_kernel(bounds: list[int], percent: int, id_type: pa.DataType):
                 if x != y and links(sets[i], sets[j], percent):
                     root[root == y] = x
                     out.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], id_type), "b": pa.array([y for _, y in out], id_type)})
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return kernel
 
 
-def _residual(members: DataFrame, classes: DataFrame, sets: DataFrame, bounds: list[int], percent: int, id_type: str) -> DataFrame:
-    """Links between components among bucket members ``(key, rep, lo, comp)``; each bucket has several components."""
-    cluster = connected_components(members.select(F.col("lo").alias("a"), F.col("rep").alias("b")))
-    cluster = cluster.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    rows = members.select("rep", "comp").distinct().join(cluster, "rep")
-    rows = rows.join(sets, "rep").join(classes.select("rep", "sig"), "rep")
+def _residual(members: DataFrame, classes: DataFrame, sets: DataFrame, bounds: list[int], percent: int) -> DataFrame:
+    """Links between components among bucket members ``(key, c, lo, comp)``; each bucket has several components."""
+    cluster = connected_components(members.select(F.col("lo").alias("a"), F.col("c").alias("b")))
+    cluster = cluster.select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    rows = members.select("c", "comp").distinct().join(cluster, "c")
+    rows = rows.join(sets, "c").join(classes.select("c", "sig"), "c")
     rows = shared_table(rows.withColumn("bytes", F.length("items") + F.length("sig")), "clusters")
     # A component over the block size gets blocks of its own; the others share blocks, each as a whole.
     parts = rows.groupBy("cluster", "comp").agg(F.sum("bytes").alias("bytes"))
@@ -218,18 +233,23 @@ def _residual(members: DataFrame, classes: DataFrame, sets: DataFrame, bounds: l
     small = parts.where("own <= 1").groupBy("cluster").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("shared"))
     plan = shared_table(parts.join(small, "cluster", "left").select("cluster", "comp", "own", F.coalesce("shared", F.lit(1)).alias("shared")), "blocks")
     block = F.when(
-        F.col("own") > 1, F.concat_ws(":", F.lit("c"), F.col("comp").cast("string"), F.expr("pmod(xxhash64(rep), own)").cast("string"))
+        F.col("own") > 1, F.concat_ws(":", F.lit("c"), F.col("comp").cast("string"), F.expr("pmod(xxhash64(c), own)").cast("string"))
     ).otherwise(F.concat_ws(":", F.lit("s"), F.expr("pmod(xxhash64(comp), shared)").cast("string")))
     placed = rows.join(plan, ["cluster", "comp"]).withColumn("block", block).withColumn("big", F.when(F.col("own") > 1, F.col("comp")))
-    placed = placed.select("cluster", "rep", "comp", "items", "sig", "block", "big")
-    blocks = placed.select("cluster", "block", "big").distinct()
-    other = blocks.select("cluster", F.col("block").alias("block2"), F.col("big").alias("big2"))
-    meets = blocks.join(other, "cluster").where("block <= block2 AND (big IS NULL OR big2 IS NULL OR big <> big2)")
+    placed = placed.select("cluster", "c", "comp", "items", "sig", "block", "big")
+    blocks = shared_table(placed.select("cluster", "block", "big").distinct(), "blocks")
+    several = blocks.groupBy("cluster").count().where("count > 1").select("cluster")
+    alone = blocks.join(several, "cluster", "left_anti").where("big IS NULL").select("cluster", "block", F.col("block").alias("block2"))
+    # Of the blocks of one cluster, those meet that have members of one bucket.
+    held = members.select("key", "c").join(placed.select("cluster", "c", "block", "big").join(several, "cluster"), "c")
+    held = shared_table(held.select("cluster", "key", "block", "big").distinct(), "held")
+    other = held.select("cluster", "key", F.col("block").alias("block2"), F.col("big").alias("big2"))
+    meets = held.join(other, ["cluster", "key"]).where("block <= block2 AND (big IS NULL OR big2 IS NULL OR big <> big2)")
+    meets = meets.select("cluster", "block", "block2").distinct().union(alone)
     meets = meets.withColumn("task", F.concat_ws("|", F.col("cluster").cast("string"), "block", "block2"))
     sides = meets.select("cluster", "task", "block").union(meets.where("block <> block2").select("cluster", "task", "block2"))
-    work = placed.join(sides, ["cluster", "block"]).select("task", "rep", "comp", "items", "sig")
-    kernel = _block_kernel(bounds, percent, work.limit(0).toArrow().schema.field("rep").type)
-    return work.groupBy("task").applyInArrow(kernel, f"a {id_type}, b {id_type}")
+    work = placed.join(sides, ["cluster", "block"]).select("task", "c", "comp", "items", "sig")
+    return work.groupBy("task").applyInArrow(_block_kernel(bounds, percent), "a long, b long")
 
 
 def near_duplicates(
@@ -239,44 +259,55 @@ def near_duplicates(
     small_batches(df)
     percent = round(100 * similarity)
     bounds = fewest_matches(similarity, BATCH, ROWS * BANDS, miss)
-    id_type = df.schema[id_col].dataType.simpleString()
     signed = shared_table(_signed(df, id_col, text_col, shingle), "signed")
     classes = signed.where("n > 0").groupBy("digest", "sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    classes = shared_table(classes, "classes")
-    known = classes.where("rep IS NOT NULL")
+    # The number of a class is fixed once its table is written.
+    classes = shared_table(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
-    banded = _banded(known, id_type)
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    banded = _banded(classes)
+    buckets = banded.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
     buckets = shared_table(buckets, "buckets")
     side = F.broadcast(buckets) if buckets.count() <= BROADCAST_ROWS else buckets
-    members = shared_table(banded.join(side, "key").select("key", "rep", "lo", "hi"), "members")
-    sets = shared_table(_sets(df, members.select("rep").distinct(), id_col, text_col, shingle, id_type), "sets")
+    members = shared_table(banded.join(side, "key").select("key", "c", "lo", "hi"), "members")
+    drop_shared(buckets)
+    needed = classes.join(members.select("c").distinct(), "c").select("c", "rep", "digest")
+    sets = shared_table(_sets(df, shared_table(needed, "needed"), id_col, text_col, shingle), "sets")
 
     def components(edges: DataFrame) -> DataFrame:
         return shared_table(connected_components(edges), "components")
 
     def labelled(comps: DataFrame) -> DataFrame:
-        found = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        return found.select("key", "rep", "lo", "hi", F.coalesce("component", "rep").alias("comp"))
+        found = members.join(comps.select(F.col("node").alias("c"), "component"), "c", "left")
+        return found.select("key", "c", "lo", F.coalesce("component", "c").alias("comp"))
 
-    first = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = shared_table(_test(first, known, sets, bounds, percent), "links")
-    comps = components(edges)
-    top = comps.select(F.col("node").alias("hi"), F.col("component").alias("top"))
-    second = labelled(comps).join(top, "hi", "left").where("rep <> hi AND comp <> coalesce(top, hi)")
-    second = second.select(F.col("rep").alias("a"), F.col("hi").alias("b")).distinct()
-    more = shared_table(_test(second, known, sets, bounds, percent), "links")
-    edges = edges.union(more)
+    ends = F.explode(F.array("lo", "hi")).alias("a")
+    pairs = members.select(ends, F.col("c").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = shared_table(_test(pairs, classes, sets, bounds, percent), "links")
     comps = components(edges)
 
     left = labelled(comps)
     mixed = left.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_ = shared_table(left.join(mixed, "key").select("key", "rep", "lo", "comp"), "open")
-    edges = edges.union(_residual(open_, known, sets, bounds, percent, id_type))
-    comps = components(edges).select(F.col("node").alias("rep"), "component")
-
-    shared = classes.join(comps, "rep", "left").where("rows > 1 OR component IS NOT NULL")
-    shared = shared_table(shared.select("digest", F.coalesce("component", "rep").alias("component")), "labels")
+    open_ = shared_table(left.join(mixed, "key").select("key", "c", "lo", "comp"), "open")
+    more = shared_table(_residual(open_, classes, sets, bounds, percent), "links")
+    drop_shared(members, sets)
+    if not more.isEmpty():  # these links join components, which are contracted to one node each
+        found = comps.select(F.col("node").alias("a"), F.col("component").alias("x"))
+        joined = more.join(found, "a", "left").select("b", F.coalesce("x", "a").alias("x"))
+        joined = joined.join(found.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
+        again = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        lone = again.join(comps.select("node"), "node", "left_anti")
+        renamed = comps.join(again.select(F.col("node").alias("component"), F.col("component").alias("z")), "component", "left")
+        comps = renamed.select("node", F.coalesce("z", "component").alias("component")).unionByName(lone)
+    comps = comps.select(F.col("node").alias("c"), "component")
+    drop_shared(open_)
+
+    # A component is named after its smallest id; classes without a link after their own.
+    linked = shared_table(classes.join(comps, "c").select("digest", "rep", "component"), "linked")
+    names = shared_table(linked.groupBy("component").agg(F.min("rep").alias("name")), "names")
+    side = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
+    shared = linked.join(side, "component").select("digest", F.col("name").alias("component"))
+    copies = classes.where("rows > 1").join(comps, "c", "left_anti").select("digest", F.col("rep").alias("component"))
+    shared = shared_table(shared.union(copies).where("component IS NOT NULL"), "labels")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     component = F.coalesce("component", "id")
     return (

@@ -81,13 +81,13 @@ def test_large_group_in_blocks(spark, monkeypatch):
 def test_block_of_tied_components_finds_every_single_link(comps):
     """Components of equal size, their rows interleaved, with a link between any one pair of rows."""
     bounds = minhash.fewest_matches(0.8, minhash.BATCH, minhash.ROWS * minhash.BANDS, 1e-6)
-    kernel = minhash._block_kernel(bounds, 80, pa.int64())
+    kernel = minhash._block_kernel(bounds, 80)
     factors = minhash._multipliers(minhash.ROWS * minhash.BANDS)
     for a in range(len(comps)):
         for b in range(a + 1, len(comps)):
             sets = [np.arange(50, dtype=np.uint64) * np.uint64(7919) + np.uint64(10**6 * (a if i == b else i)) for i in range(len(comps))]
             signatures = [minhash.signature(s, factors).tobytes() for s in sets]
-            found = kernel(pa.table({"rep": list(range(len(comps))), "comp": comps, "items": [s.tobytes() for s in sets], "sig": signatures}))
+            found = kernel(pa.table({"c": list(range(len(comps))), "comp": comps, "items": [s.tobytes() for s in sets], "sig": signatures}))
             got = {tuple(sorted(p)) for p in zip(*found.to_pydict().values(), strict=True)}
             assert got == ({(a, b)} if comps[a] != comps[b] else set())
 
@@ -98,3 +98,39 @@ def test_posterior_bounds_keep_borderline_pairs():
     rng = np.random.default_rng(1)
     seen = np.cumsum(rng.random((20_000, 160)) < 0.8, axis=1)[:, 31::32]
     assert (seen >= np.array(bounds)).all()
+
+
+def test_null_ids_link_and_are_linked_through(spark):
+    base = [f"w{i}" for i in range(100)]
+    far = base[:96] + [f"x{i}" for i in range(4)]
+    further = base[:92] + [f"x{i}" for i in range(8)]
+    rows = [(5, " ".join(base)), (None, " ".join(far)), (9, " ".join(further)), (None, "alone here"), (None, "alone here"), (None, "two three four five six"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, shingle=4).collect()), key=repr)
+    want = brute([(k, t) for k, (_, t) in enumerate(rows)], 4, 80)  # rows by number
+    names = {}
+    for k, (_, c) in want.items():
+        ids = [rows[j][0] for j in want if want[j][1] == c and rows[j][0] is not None]
+        names[k] = min(ids) if ids else None
+    assert got == sorted(((rows[k][0], n, names[k], rows[k][0] == names[k]) for k, (n, _) in want.items()), key=repr)
+    assert (9, 97, 5, False) in got and (None, 97, 5, False) in got
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    gen = np.random.default_rng(1)
+    long = [f"v{x}" for x in gen.integers(0, 10**9, 60_000)]
+    near = long[:30_000] + ["changed"] + long[30_000:]
+    rows = [(4, " ".join(long)), (2, " ".join(near)), (4, " ".join(long)), (4, "another text of this id"), (7, "another text of this id")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect())
+    assert got == [(2, 59_998, 2), (4, 2, 4), (4, 59_997, 2), (4, 59_997, 2), (7, 2, 4)]
+
+
+def test_beyond_the_broadcast_limits(spark, monkeypatch):
+    from odweave.operators import iterate
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(minhash.near_duplicates(df, shingle=4).collect())
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", 0)
+    assert sorted(minhash.near_duplicates(df, shingle=4).collect()) == want
