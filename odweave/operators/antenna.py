@@ -89,7 +89,7 @@ def density_change(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def initial_moments(observations: DataFrame) -> DataFrame:
     """``(antenna, x, y, range, angle, kappa)`` from weighted places ``(antenna, mast_x, mast_y, x, y, weight)``: mean
-    distance, mean direction, and the concentration that the resultant length implies."""
+    distance, mean direction (0 where the directions cancel out), and the concentration that the resultant length implies."""
     w, dx, dy = F.col("weight"), F.col("x") - F.col("mast_x"), F.col("y") - F.col("mast_y")
     d = F.hypot(dx, dy)
     sw = F.sum(w)
@@ -97,7 +97,7 @@ def initial_moments(observations: DataFrame) -> DataFrame:
     rows = observations.groupBy("antenna").agg(F.first("mast_x").alias("x"), F.first("mast_y").alias("y"), ratio(F.sum(w * d), sw).alias("range"), c.alias("c"), s.alias("s"))
     r = F.hypot("c", "s")
     kappa = r * (2 - r * r) / F.greatest(1 - r * r, F.lit(1e-9))
-    return rows.select("antenna", "x", "y", "range", F.atan2("s", "c").alias("angle"), kappa.alias("kappa"))
+    return rows.select("antenna", "x", "y", "range", F.when(r < 1e-9, 0.0).otherwise(F.atan2("s", "c")).alias("angle"), kappa.alias("kappa"))
 
 
 def adjusted(observations: DataFrame, signals_of, antennas: DataFrame, rounds: int = 5) -> DataFrame:

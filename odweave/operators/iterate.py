@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = current.union(current.select("v", "u"))
         low = node_rows(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = edge_rows(large.distinct())
+        large = edge_rows(large)
         # In the small star every node has only smaller neighbours left: u > v holds in ``large``.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         low = node_rows(least)

@@ -13,7 +13,10 @@ from odweave.functions.columns import is_close, like_input, ratio
 
 
 def uniform(seed: int, *cols: str) -> Column:
-    return (F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
+    """A number in (0, 1) of 52 bits from the MD5 of the columns' values and the seed, joined by colons; any engine can
+    draw it again."""
+    text = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
 
 
 def geometric_noise(epsilon: float, seed: int, *cols: str) -> Column:

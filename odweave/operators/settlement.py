@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from odweave.functions.columns import ratio, top_rows
 from odweave.operators.graphs import _matrix_kernel, ancestors, parent_cycles, passage_times, strong_components
+from odweave.operators.privacy import uniform
 
 
 # ---- relation vectors and single-step choices ----
@@ -46,8 +47,7 @@ def maxflow_parents(flows: DataFrame, strength: str = "strength") -> DataFrame:
 def sampled_parents(flows: DataFrame, seed: int, strength: str = "strength") -> DataFrame:
     """A random parent in proportion to the flows: the first of an exponential race whose times a hash gives, so the
     draw does not depend on partitions."""
-    u = (F.pmod(F.xxhash64("from_id", "to_id", F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
-    rows = flows.where(f"from_id <> to_id AND {strength} > 0").withColumn("_race", F.ln(u) / F.col(strength))
+    rows = flows.where(f"from_id <> to_id AND {strength} > 0").withColumn("_race", F.ln(uniform(seed, "from_id", "to_id")) / F.col(strength))
     return top_rows(rows, ["from_id"], "_race", "to_id").select(F.col("from_id").alias("id"), F.col("to_id").alias("parent"))
 
 

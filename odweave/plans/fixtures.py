@@ -111,6 +111,19 @@ CTE = {
     "par": "par AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 0 THEN NULL ELSE n_nationkey // 3 END AS parent FROM nation)",
     "model": "model AS (SELECT id, CASE WHEN id = 24 THEN id ELSE parent END AS parent, CASE WHEN id = 24 THEN 'A' WHEN id >= 9 AND id % 4 = 0 THEN 'O' ELSE 'N' END AS stage FROM par)",
 }
+
+
+def draw(seed: int, *cols: str) -> str:
+    """The uniform draw of the operators, for the oracle."""
+    text = " || ':' || ".join([*(f"CAST({c} AS VARCHAR)" for c in cols), f"'{seed}'"])
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def noise(epsilon: float, seed: int, *cols: str) -> str:
+    one, two = (f"floor(ln({draw(s, *cols)}) / {-epsilon}::DOUBLE)" for s in (2 * seed, 2 * seed + 1))
+    return f"({one} - {two})"
+
+
 _NEEDS = {"truth": ("z",), "model": ("par",)}
 
 

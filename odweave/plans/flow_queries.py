@@ -86,7 +86,10 @@ def region_names(t):
     return measures.names(t.units, "pop")
 
 
-@query("region_measures")
+@query("region_measures", "z u", f"""{_SUMS}, one AS (SELECT *, 1 AS unit_count FROM lab), pr AS (SELECT region, {', '.join(_PROPS)} FROM one GROUP BY 1),
+ nm AS (SELECT region, coalesce(string_agg(name, '–' ORDER BY pop DESC, id) FILTER (WHERE is_core), first(name ORDER BY pop DESC, id)) AS name FROM u GROUP BY 1),
+ al AS (SELECT *, round((inter_region_to_region / nullif(inter_region_to_all, 0)::DOUBLE + inter_region_to_region / nullif(inter_all_to_region, 0)::DOUBLE) / 2, 6) AS self_containment FROM nm LEFT JOIN pr USING (region) LEFT JOIN s USING (region))
+ SELECT region, COLUMNS(lambda c: regexp_full_match(c, 'pop.*|inter_region_.*|name|self_containment') AND NOT regexp_full_match(c, '.*_frac')) FROM al""")
 def region_measures(t):
     return measures.calculate(t.units, t.zone_flows, "pop", ["pop"], only="pop.*|inter_region_.*|name|self_containment", exclude=".*_frac")
 
@@ -228,19 +231,25 @@ def transfer_rels_intraflow_eta(t):
     return transfer.transfer_interactions(t.zone_flows, t.transfer, ["strength"], transfer.eta_of_intraflows(t.zone_flows, "strength"))
 
 
-@query("eta_neighbours", "z sq", """nb AS (SELECT a.id AS f, b.id AS g FROM sq a JOIN sq b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+_NEAR = """nb AS (SELECT a.id AS f, b.id AS g FROM sq a JOIN sq b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
  c AS (SELECT f, g, coalesce((SELECT strength FROM z WHERE from_id = f AND to_id = f), 0)::DOUBLE AS r00, coalesce((SELECT strength FROM z WHERE from_id = f AND to_id = g), 0)::DOUBLE AS r01,
    coalesce((SELECT strength FROM z WHERE from_id = g AND to_id = f), 0)::DOUBLE AS r10, coalesce((SELECT strength FROM z WHERE from_id = g AND to_id = g), 0)::DOUBLE AS r11 FROM nb),
  d AS (SELECT *, r00 + r01 + r10 + r11 AS tot, nullif(r00 + r01, 0) AS s0, nullif(r10 + r11, 0) AS s1, (r00 + r10) / nullif(r00 + r01 + r10 + r11, 0) AS b0, (r01 + r11) / nullif(r00 + r01 + r10 + r11, 0) AS b1 FROM c)
  SELECT f AS from_id, g AS to_id, round(greatest(0, least(1, (coalesce((r00 / s0 - b0) / nullif(1 - b0, 0) * r00, 0) + coalesce((r01 / s1 - b1) / nullif(0 - b1, 0) * r01, 0) + coalesce((r10 / s0 - b0) / nullif(0 - b0, 0) * r10, 0)
-   + coalesce((r11 / s1 - b1) / nullif(1 - b1, 0) * r11, 0)) / nullif(tot, 0))), 6) AS eta, tot AS weight FROM d""")
+   + coalesce((r11 / s1 - b1) / nullif(1 - b1, 0) * r11, 0)) / nullif(tot, 0))), 6) AS eta, tot AS weight FROM d"""
+
+
+@query("eta_neighbours", "z sq", _NEAR)
 def eta_neighbours(t):
     from odweave.operators import spatial
 
     return transfer.eta_of_neighbours(t.zone_flows, spatial.neighbour_pairs(t.squares, 2.0))
 
 
-@query("eta_summary")
+_FIT = _NEAR.replace(" SELECT f AS from_id", ", en AS (SELECT f AS from_id").replace("round(greatest(0, least(1,", "(greatest(0, least(1,").replace("nullif(tot, 0))), 6) AS eta", "nullif(tot, 0)))) AS eta") + "), mn AS (SELECT sum(eta * weight) / nullif(sum(weight), 0) AS m FROM en)"
+
+
+@query("eta_summary", "z sq", f"{_FIT} SELECT round(max(m), 6) AS mean, round(sqrt(sum(weight * (eta - m) * (eta - m)) / sum(weight)), 6) AS rmse, round(sum(weight * abs(eta - m)) / sum(weight), 6) AS mae FROM en, mn")
 def eta_summary(t):
     return transfer.weighted_fit(eta_neighbours(t))
 
@@ -302,7 +311,19 @@ def calibrate_ipf_3(t):
     return calibrate.by_margins(t.zone_flows, t.truth, "strength", sweeps=3)
 
 
-@query("calibrate_ipf")
+def _factors_sql(sweeps: int) -> str:
+    """Fitting by factors of rows and columns; more sweeps than it takes to settle change nothing."""
+    out = ["rw AS (SELECT from_id, sum(strength)::DOUBLE AS r FROM truth GROUP BY 1)", "cl AS (SELECT to_id, sum(strength)::DOUBLE AS c FROM truth GROUP BY 1)",
+           "b0 AS (SELECT DISTINCT to_id, 1.0::DOUBLE AS b FROM z)"]
+    row = "a{k} AS MATERIALIZED (SELECT from_id, coalesce(any_value(r), 0) / CASE WHEN sum(strength * b) = 0 THEN 1 ELSE sum(strength * b) END AS a FROM z JOIN b{j} USING (to_id) LEFT JOIN rw USING (from_id) GROUP BY 1)"
+    col = "b{k} AS MATERIALIZED (SELECT to_id, coalesce(any_value(c), 0) / CASE WHEN sum(strength * a) = 0 THEN 1 ELSE sum(strength * a) END AS b FROM z JOIN a{k} USING (from_id) LEFT JOIN cl USING (to_id) GROUP BY 1)"
+    for k in range(1, sweeps + 1):
+        out += [row.format(k=k, j=k - 1), col.format(k=k)]
+    out.append(row.format(k=sweeps + 1, j=sweeps))
+    return ", ".join(out) + f", ip AS (SELECT from_id, to_id, strength * a * b AS v FROM z JOIN a{sweeps + 1} USING (from_id) JOIN b{sweeps} USING (to_id) WHERE strength * a * b <> 0)"
+
+
+@query("calibrate_ipf", "z truth", _factors_sql(60) + " SELECT from_id, to_id, round(v, 6) AS strength FROM ip")
 def calibrate_ipf(t):
     return calibrate.by_margins(t.zone_flows, t.truth, "strength")
 
@@ -329,9 +350,21 @@ def calibrate_logols(t):
     return calibrate.calibrated(_xy(t), "x", "y", "logols")
 
 
-@query("calibrate_lad")
+def _lad_sql(rounds: int, x: str, y: str, rows: str, intercept: bool) -> str:
+    """Reweighted least squares, written out; rounds beyond the settled one change nothing."""
+    out = [f"pt AS (SELECT {x} AS x, {y} AS y FROM xy {rows})"]
+    for k in range(rounds):
+        w = "1.0::DOUBLE" if k == 0 else "1 / greatest(abs(y - s * x - i), 1e-3)"
+        own = f"(SELECT x, y, {w} AS w FROM pt" + (f", k{k - 1})" if k else ")")
+        sums = "sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * y) AS sxy, sum(w * x * x) AS sxx"
+        slope = "(sw * sxy - sx * sy) / (sw * sxx - sx * sx)" if intercept else "sxy / sxx"
+        out.append(f"k{k} AS MATERIALIZED (SELECT s, {'(sy - s * sx) / sw' if intercept else '0.0::DOUBLE'} AS i FROM (SELECT *, {slope} AS s FROM (SELECT {sums} FROM {own} q)))")
+    return ", ".join(out) + f", m AS (SELECT * FROM k{rounds - 1})"
+
+
+@query("calibrate_lad", "u", f"{_XY}, {_lad_sql(200, 'x::DOUBLE', 'y', '', False)} SELECT id, x, y, round(greatest(0, x * s), 3) AS calibrated FROM xy, m")
 def calibrate_lad(t):
-    return calibrate.calibrated(_xy(t), "x", "y", "lad")
+    return rounded(calibrate.calibrated(_xy(t), "x", "y", "lad"), 3)
 
 
 @query("calibrate_loglad")
@@ -339,7 +372,12 @@ def calibrate_loglad(t):
     return calibrate.calibrated(_xy(t), "x", "y", "loglad")
 
 
-@query("calibrate_rels_all")
+@query("calibrate_rels_all", "z truth", _factors_sql(60) + """, vs AS (SELECT from_id, sum(strength) AS v FROM z GROUP BY 1), cs AS (SELECT from_id, sum(strength) AS c FROM truth GROUP BY 1),
+ so AS (SELECT from_id, to_id, round(strength * coalesce(c / nullif(v, 0)::DOUBLE, 1), 6) AS w FROM z JOIN vs USING (from_id) LEFT JOIN cs USING (from_id)),
+ vd AS (SELECT from_id, from_id = to_id AS s, sum(strength) AS v FROM z GROUP BY 1, 2), cd AS (SELECT from_id, from_id = to_id AS s, sum(strength) AS c FROM truth GROUP BY 1, 2),
+ di AS (SELECT z.from_id, to_id, round(strength * coalesce(c / nullif(v, 0)::DOUBLE, 1), 6) AS w FROM z JOIN vd ON vd.from_id = z.from_id AND vd.s = (z.from_id = z.to_id) LEFT JOIN cd ON cd.from_id = z.from_id AND cd.s = (z.from_id = z.to_id))
+ SELECT from_id, to_id, strength, so.w AS strength_cal_source, di.w AS strength_cal_dirstat, round(ip.v, 6) AS strength_cal_ipf
+ FROM z FULL JOIN so USING (from_id, to_id) FULL JOIN di USING (from_id, to_id) FULL JOIN ip USING (from_id, to_id)""")
 def calibrate_rels_all(t):
     return calibrate.calibrate_all(t.zone_flows, t.truth, "strength")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from odweave.functions import columns
 from odweave.operators import antenna, areas, calibrate, privacy, raster, roads, spatial, transfer, windows
-from odweave.plans.fixtures import Tables, rounded, with_ctes
+from odweave.plans.fixtures import Tables, draw, noise, rounded, with_ctes
 from odweave.sources import tables as sources
 
 QUERIES, SQL = {}, {}
@@ -92,18 +92,24 @@ def circular_mean(t):
     return rounded(windows.circular_mean(t.raw("events"), ["user_id"], "ts"), 4)
 
 
-@query("detect_anchors")
+@query("detect_anchors", "", """WITH o AS (SELECT user_id, regexp_extract(props, '"k": (\\d+)', 1)::BIGINT AS site_id, epoch_us(ts) AS us, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
+ w AS (SELECT *, t - floor(t / 86400) * 86400 AS s, least((coalesce(t - lag(t) OVER k, 3600) + coalesce(lead(t) OVER k - t, 3600)) / 2, 3600) AS weight FROM o WINDOW k AS (PARTITION BY user_id ORDER BY t)),
+ b AS (SELECT user_id, site_id, count(*) AS observations, sum(weight) AS weight, (max(us) - min(us)) / 1000000.0::DOUBLE AS timespan, atan2(sum(sin(s * 2 * pi() / 86400)), sum(cos(s * 2 * pi() / 86400))) * 86400 / (2 * pi()) AS m FROM w GROUP BY 1, 2),
+ g AS (SELECT user_id, site_id, floor(s) AS s, sum(weight) AS w FROM w GROUP BY 1, 2, 3),
+ pr AS (SELECT user_id, site_id, b AS bin, sum(w * exp(1 / pow(1800.0 * 2 * pi() / 86400, 2) * (cos((s - (b + 0.5) * 1800) * 2 * pi() / 86400) - 1))) AS d FROM g, range(48) r(b) GROUP BY 1, 2, 3),
+ n AS (SELECT user_id, site_id, sum(d * cos((bin + 0.5) * 2 * pi() / 48)) / nullif(sum(d), 0) AS night_index FROM pr GROUP BY 1, 2)
+ SELECT user_id, site_id, observations, round(weight, 4) AS weight, round(timespan, 4) AS timespan, round(m - floor(m / 86400) * 86400, 4) AS mean_second, round(night_index, 4) AS night_index, night_index > 0 AS is_home FROM b JOIN n USING (user_id, site_id)""")
 def detect_anchors(t):
     site = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
-    return windows.detect_anchors(t.raw("events").withColumn("site_id", site), "user_id", "site_id", "ts")
+    return rounded(windows.detect_anchors(t.raw("events").withColumn("site_id", site), "user_id", "site_id", "ts"), 4)
 
 
-@query("trajectory_grid", "", """WITH o AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value AS x, (event_id % 100)::DOUBLE AS y FROM events WHERE user_id < 5),
+@query("trajectory_grid", "", """WITH o AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value AS x, (event_id % 100)::DOUBLE AS y FROM events),
  k AS (SELECT user_id, ceil((t - min(t) OVER (PARTITION BY user_id)) / 3600)::BIGINT AS tick, x, y FROM o), a AS (SELECT user_id, tick, avg(x) AS x, avg(y) AS y FROM k GROUP BY 1, 2),
  g AS (SELECT user_id, unnest(range(0, max(tick) + 1)) AS tick FROM a GROUP BY 1), n AS (SELECT user_id, tick + d AS tick, exp(-pow(d * 3600 / 7200.0, 2) / 2) AS w, x, y FROM a, range(-8, 9) r(d)),
  s AS (SELECT user_id, tick, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y FROM n GROUP BY 1, 2) SELECT user_id, tick, round(x, 6) AS x, round(y, 6) AS y FROM g LEFT JOIN s USING (user_id, tick)""")
 def trajectory_grid(t):
-    e = t.raw("events").where("user_id < 5").select("user_id", "ts", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
+    e = t.raw("events").select("user_id", "ts", F.col("value").alias("x"), (F.col("event_id") % 100).cast("double").alias("y"))
     return windows.trajectory(e, ["user_id"], "ts", "x", "y", step=3600, sigma=7200.0)
 
 
@@ -115,14 +121,21 @@ def gravity_topk(t):
     return privacy.gravity_candidates(units, units.select(F.col("id").alias("from_id"), F.lit(4).alias("k")))
 
 
-@query("dp_atomic")
+@query("dp_atomic", "l", f"n AS (SELECT from_id, to_id, greatest(strength + {noise(0.5, 1, 'from_id', 'to_id')}, 0)::BIGINT AS strength FROM l) SELECT * FROM n WHERE strength > 0")
 def dp_atomic(t):
     return privacy.atomic(t.large_flows, ["strength"])
 
 
-@query("dp_gravity")
+@query("dp_gravity", "z u p", f"""f AS (SELECT from_id, to_id, (strength % 4 + 1)::DOUBLE AS v0 FROM z), n AS (SELECT *, v0 + {noise(0.5, 1, 'from_id', 'to_id')} AS v FROM f),
+ pe AS (SELECT from_id, count(*) FILTER (WHERE v <= 0) AS lost, count(*) FILTER (WHERE v > 0) AS kept, sum(v0) AS total FROM n GROUP BY 1), m AS (SELECT id, x, y, pop::DOUBLE AS pop FROM u JOIN p USING (id)),
+ g AS (SELECT a.id AS from_id, b.id AS to_id, a.pop * b.pop / (pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS gravity FROM m a JOIN m b ON a.id <> b.id),
+ c AS (SELECT *, count(*) OVER (PARTITION BY from_id ORDER BY gravity DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
+ d AS (SELECT from_id, to_id, lost, {noise(0.5, 101, 'from_id', 'to_id')} AS v FROM c JOIN pe USING (from_id) WHERE lost > 0 AND k <= kept + 3 * lost AND NOT EXISTS (SELECT 1 FROM n WHERE n.from_id = c.from_id AND n.to_id = c.to_id AND n.v > 0)),
+ ad AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY {draw(201, 'from_id', 'to_id')}, to_id) AS r FROM d WHERE v > 0) WHERE r <= lost),
+ al AS (SELECT from_id, to_id, v FROM n WHERE v > 0 UNION ALL SELECT from_id, to_id, v FROM ad), o AS (SELECT al.from_id, to_id, round_even(v * total / sum(v) OVER (PARTITION BY al.from_id), 0)::BIGINT AS strength FROM al JOIN pe USING (from_id))
+ SELECT * FROM o WHERE strength > 0""")
 def dp_gravity(t):
-    small = t.zone_flows.where("(from_id * 3 + to_id) % 5 <> 0").withColumn("strength", (F.col("strength") % 4 + 1))
+    small = t.zone_flows.withColumn("strength", (F.col("strength") % 4 + 1))
     return privacy.gravity(small, t.units.join(t.places, "id").withColumnRenamed("pop", "mass"), "strength")
 
 
@@ -153,11 +166,11 @@ def points_in_cells(t):
     return spatial.points_in_polygons(pts, _rings(t.squares), 1.0).select("pid", "id")
 
 
-@query("nearest_place", "p", """c AS (SELECT c_custkey AS id, (c_custkey * 37 % 997) / 100.0::DOUBLE AS x, (c_custkey * 91 % 997) / 100.0::DOUBLE AS y FROM customer), q AS (SELECT id AS target, x AS tx, y AS ty FROM p WHERE id % 3 = 0),
+@query("nearest_place", "p", """c AS (SELECT c_custkey AS id, (c_custkey * 37 % 997) / 100.0::DOUBLE AS x, (c_custkey * 91 % 997) / 100.0::DOUBLE AS y FROM customer), q AS (SELECT id AS target, x AS tx, y AS ty FROM p),
  d AS (SELECT id, target, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM c, q) SELECT id, target, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(distance, 9), target) AS r FROM d) WHERE r = 1""")
 def nearest_place(t):
     pts = t.raw("customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") * 37 % 997) / 100).alias("x"), ((F.col("c_custkey") * 91 % 997) / 100).alias("y"))
-    return spatial.nearest(pts, t.places.where("id % 3 = 0"), 1.0)
+    return spatial.nearest(pts, t.places, 1.0)
 
 
 @query("ring_measures", "ws", "SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, round(2 * ((x1 - x0) + (y1 - y0)), 6) AS perimeter, round((x0 + x1) / 2, 6) AS cx, round((y0 + y1) / 2, 6) AS cy FROM ws")
@@ -179,7 +192,7 @@ def voronoi_areas(t):
     return spatial.voronoi(t.places).select("id", spatial.area("ring").alias("area"))
 
 
-@query("voronoi_neighbours")
+@query("voronoi_neighbours", "p", "SELECT a.id AS from_id, b.id AS to_id FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1")
 def voronoi_neighbours(t):
     return spatial.voronoi_neighbours(spatial.voronoi(t.places))
 
@@ -225,12 +238,18 @@ def exclave_elimination(t):
     return spatial.eliminate_exclaves(parts, borders, "region", 60)
 
 
-@query("geohash")
+_HASH = "substr('0123456789bcdefghjkmnpqrstuvwxyz', ({}) + 1, 1)"
+_BITS = [f"(({'ix' if k % 2 == 0 else 'iy'} >> {(22 if k % 2 == 0 else 21) - k // 2}) & 1)" for k in range(45)]
+_HASHED = " || ".join(_HASH.format(" + ".join(f"{_BITS[5 * c + b]} * {16 >> b}" for b in range(5))) for c in range(9))
+
+
+@query("geohash", "p", f"g AS (SELECT id, least(floor((x * 30 + 120) / 360 * 8388608), 8388607)::BIGINT AS ix, least(floor((y * 15 + 60) / 180 * 4194304), 4194303)::BIGINT AS iy FROM p) SELECT id, {_HASHED} AS geohash FROM g")
 def geohash(t):
     return t.places.select("id", spatial.geohash(F.col("x") * 30 - 60, F.col("y") * 15 - 30).alias("geohash"))
 
 
-@query("curved_lines")
+@query("curved_lines", "p", """h AS (SELECT id, x, y, 1 / (2 * tan(radians(30))) AS h FROM p), c AS (SELECT *, x + 1 + h AS cx, y + 0.5 - 2 * h AS cy FROM h), r AS (SELECT *, atan2(y - cy, x - cx) AS a, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS r FROM c)
+ SELECT id, k::INT AS k, round(cx + r * cos(a - 2 * radians(30) * k / 15), 6) + 0.0 AS x, round(cy + r * sin(a - 2 * radians(30) * k / 15), 6) + 0.0 AS y FROM r, range(16) g(k)""")
 def curved_lines(t):
     p = t.places
     arc = spatial.curved_line(F.col("x"), F.col("y"), F.col("x") + 2, F.col("y") + 1)
@@ -244,10 +263,10 @@ def equalisation_groups(t):
 
 # ---- rasters, antennas ----
 def _sources(t):
-    return t.places.where("id % 4 = 0").select("x", "y", (F.col("id") + 1).cast("double").alias("magnitude"), F.lit(1.5).alias("halfrange"), F.lit(0.5).alias("fullrange"))
+    return t.places.select("x", "y", (F.col("id") + 1).cast("double").alias("magnitude"), F.lit(1.5).alias("halfrange"), F.lit(0.5).alias("fullrange"))
 
 
-_POT = """s AS (SELECT x, y, (id + 1)::DOUBLE AS magnitude FROM p WHERE id % 4 = 0), c AS (SELECT r, k, x, y, magnitude, sqrt(pow((k + 0.5) - (x + 2) / 0.5, 2) + pow((r + 0.5) - (y + 2) / 0.5, 2)) AS d FROM s, range(18) a(r), range(18) b(k)),
+_POT = """s AS (SELECT x, y, (id + 1)::DOUBLE AS magnitude FROM p), c AS (SELECT r, k, x, y, magnitude, sqrt(pow((k + 0.5) - (x + 2) / 0.5, 2) + pow((r + 0.5) - (y + 2) / 0.5, 2)) AS d FROM s, range(18) a(r), range(18) b(k)),
  v AS (SELECT r, k, magnitude * CASE WHEN d <= 1 THEN 1 ELSE {f} END AS v FROM c) SELECT (17 - r)::INT AS row, k::INT AS col, round({a}(v), 6) AS value FROM v WHERE v >= 0.01 GROUP BY 1, 2"""
 
 
@@ -268,10 +287,10 @@ def raster_points(t):
 
 
 def _antennas(t):
-    return t.places.where("id % 6 = 0").select(F.col("id").alias("antenna"), "x", "y", (F.col("id") / 10 + 0.5).alias("range"), F.lit(1.0).alias("strength"), F.lit(None).cast("double").alias("angle"), F.lit(0.0).alias("kappa"))
+    return t.places.select(F.col("id").alias("antenna"), "x", "y", (F.col("id") / 10 + 0.5).alias("range"), F.lit(1.0).alias("strength"), F.lit(None).cast("double").alias("angle"), F.lit(0.0).alias("kappa"))
 
 
-_SIG = "an AS (SELECT id AS antenna, x, y, id / 10.0::DOUBLE + 0.5 AS g FROM p WHERE id % 6 = 0), s AS (SELECT p.id AS place, antenna, g / (pi() * (pow(p.x - an.x, 2) + pow(p.y - an.y, 2) + g * g)) / (2 * pi()) AS signal FROM p, an)"
+_SIG = "an AS (SELECT id AS antenna, x, y, id / 10.0::DOUBLE + 0.5 AS g FROM p), s AS (SELECT p.id AS place, antenna, g / (pi() * (pow(p.x - an.x, 2) + pow(p.y - an.y, 2) + g * g)) / (2 * pi()) AS signal FROM p, an)"
 
 
 @query("antenna_strength", "p", f"{_SIG} SELECT place, antenna, round(signal, 6) AS signal FROM s")
@@ -284,19 +303,32 @@ def antenna_connections(t):
     return antenna.connections(antenna.strengths(t.places, _antennas(t)), 0.6)
 
 
-@query("antenna_network")
+@query("antenna_network", "", f"""WITH m AS (SELECT mast, {draw(1, 'mast')} * 5 AS x, {draw(2, 'mast')} * 5 AS y, {draw(3, 'mast')} AS turn, k FROM range(20) g(mast), range(3) h(k))
+ SELECT mast * 3 + k AS antenna, round(x, 6) AS x, round(y, 6) AS y, 1.0::DOUBLE AS range, 1.0::DOUBLE AS strength, round((turn + k / 3.0::DOUBLE - floor(turn + k / 3.0::DOUBLE)) * 2 * pi(), 6) AS angle, 1.0::DOUBLE AS kappa FROM m""")
 def antenna_network(t):
     return antenna.random_network(t.spark, 20, (0.0, 0.0, 5.0, 5.0))
 
 
-@query("antenna_moments")
+@query("antenna_moments", "p", f"""{_SIG}, co AS (SELECT * FROM (SELECT *, max(signal) OVER (PARTITION BY place) AS m FROM s) WHERE signal >= 0.5 * m),
+ ob AS (SELECT co.antenna, an.x AS mx, an.y AS my, signal AS w, p.x - an.x AS dx, p.y - an.y AS dy, sqrt(pow(p.x - an.x, 2) + pow(p.y - an.y, 2)) AS d FROM co JOIN an USING (antenna) JOIN p ON p.id = place),
+ mo AS (SELECT antenna, any_value(mx) AS x, any_value(my) AS y, sum(w * d) / sum(w) AS range, sum(w * coalesce(dx / nullif(d, 0), 0)) / sum(w) AS c, sum(w * coalesce(dy / nullif(d, 0), 0)) / sum(w) AS s FROM ob GROUP BY 1), re AS (SELECT *, sqrt(c * c + s * s) AS r FROM mo)
+ SELECT antenna, x, y, round(range, 6) AS range, round(CASE WHEN r < 1e-9 THEN 0 ELSE atan2(s, c) END, 6) AS angle, round(r * (2 - r * r) / greatest(1 - r * r, 1e-9), 6) AS kappa FROM re""")
 def antenna_moments(t):
     seen = antenna.connections(antenna.strengths(t.places, _antennas(t)), 0.5)
     a = _antennas(t).select("antenna", F.col("x").alias("mast_x"), F.col("y").alias("mast_y"))
     return antenna.initial_moments(seen.join(a, "antenna").join(t.places.withColumnRenamed("id", "place"), "place").withColumnRenamed("signal", "weight"))
 
 
-@query("antenna_adjusted")
+def _adjusted_sql(rounds: int) -> str:
+    out = ["se AS (SELECT antenna, count(*)::DOUBLE AS w FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY signal DESC, antenna) AS r FROM s) WHERE r = 1 GROUP BY 1)", "f0 AS (SELECT antenna, 1.0::DOUBLE AS f FROM an)"]
+    for k in range(1, rounds + 1):
+        out.append(f"e{k} AS (SELECT antenna, sum(q) AS e FROM (SELECT antenna, signal * f / sum(signal * f) OVER (PARTITION BY place) AS q FROM s JOIN f{k - 1} USING (antenna)) GROUP BY 1)")
+        out.append(f"t{k} AS (SELECT antenna, e, coalesce(w, 0) AS w FROM e{k} LEFT JOIN se USING (antenna))")
+        out.append(f"f{k} AS (SELECT antenna, f * coalesce((w / nullif((SELECT sum(w) FROM t{k}), 0)) / nullif(e / nullif((SELECT sum(e) FROM t{k}), 0), 0), 1) AS f FROM f{k - 1} JOIN t{k} USING (antenna))")
+    return ", ".join(out) + f" SELECT antenna, x, y, g AS range, round(f, 6) AS strength, NULL::DOUBLE AS angle, 0.0::DOUBLE AS kappa FROM an JOIN f{rounds} USING (antenna)"
+
+
+@query("antenna_adjusted", "p", f"{_SIG}, {_adjusted_sql(2)}")
 def antenna_adjusted(t):
     seen = antenna.connections(antenna.strengths(t.places, _antennas(t))).groupBy("antenna").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return antenna.adjusted(seen, lambda a: antenna.strengths(t.places, a), _antennas(t), rounds=2)
@@ -334,16 +366,13 @@ def default_repair(t):
 
 
 @query("speed_lookup", "", """WITH s AS (SELECT p_partkey, p_retailprice, CASE p_type WHEN 'ECONOMY' THEN (CASE p_brand WHEN 'Brand#2' THEN 90 WHEN 'Brand#7' THEN 70 END) WHEN 'STANDARD' THEN 50 END::DOUBLE AS v, p_size FROM part),
- q AS (SELECT p_partkey, p_retailprice, CASE WHEN p_size <> 0 THEN least(v, p_size::DOUBLE) ELSE v END AS speed FROM s) SELECT p_partkey, CASE WHEN speed IS NULL THEN NULL ELSE speed END AS speed, round(p_retailprice * 3.6 / nullif(speed, 0), 6) AS time FROM q WHERE speed IS NOT NULL""")
+ q AS (SELECT p_partkey, p_retailprice, CASE WHEN p_size <> 0 THEN least(v, p_size::DOUBLE) ELSE v END AS speed FROM s) SELECT p_partkey, CASE WHEN speed IS NULL THEN NULL ELSE speed END AS speed, round(p_retailprice * 3.6 / nullif(speed, 0), 6) AS time FROM q""")
 def speed_lookup(t):
     mapping = {"p_type": {"ECONOMY": {"p_brand": {"Brand#2": 90, "Brand#7": 70}}, "STANDARD": 50}}
-    out = roads.speeds(t.raw("part").where("p_type = 'STANDARD' OR (p_type = 'ECONOMY' AND p_brand IN ('Brand#2', 'Brand#7'))"), mapping, "p_size", "p_retailprice")
+    out = roads.speeds(t.raw("part"), mapping, "p_size", "p_retailprice")
     return out.select("p_partkey", "speed", "time")
 
 
-SQL["speed_lookup"] = SQL["speed_lookup"].replace("WHERE speed IS NOT NULL", "WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'STANDARD' OR (p_type = 'ECONOMY' AND p_brand IN ('Brand#2', 'Brand#7')))")
-
-
 @query("split_lines", "", """SELECT * FROM (VALUES (1, 0, 2.0::DOUBLE), (1, 1, 2.0), (2, 0, 2.0), (2, 1, 2.0), (3, 0, 1.0), (4, 0, 4.0)) v(id, part, length)""")
 def split_lines(t):
     rows = [(1, 0, [(0.0, 2.0), (4.0, 2.0)]), (2, 0, [(2.0, 0.0), (2.0, 1.0), (2.0, 4.0)]), (3, 0, [(2.0, 4.0), (2.0, 5.0)]), (4, 1, [(0.0, 1.0), (4.0, 1.0)])]
@@ -407,7 +436,7 @@ def within_extent(t):
     return areas.within_extent(t.places, extent)
 
 
-@query("random_places_within")
+@query("random_places_within", "", f"WITH r AS (SELECT id, {draw(1, 'id')} * 4 AS x, {draw(2, 'id')} * 4 AS y FROM range(250) g(id)) SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM r WHERE x + y < 4 ORDER BY id LIMIT 50")
 def random_places_within(t):
     corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
     extent = t.spark.range(1).select(F.array(corner(0.0, 0.0), corner(4.0, 0.0), corner(0.0, 4.0)).alias("ring"))
@@ -442,7 +471,8 @@ def observation_weights(t):
     return areas.observation_weights(t.places)
 
 
-@query("clustered_weights")
+@query("clustered_weights", "p", f"""b AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM p), c AS (SELECT x0 + {draw(1, 'id')} * (x1 - x0) AS cx, y0 + {draw(2, 'id')} * (y1 - y0) AS cy FROM range(3) g(id), b)
+ SELECT id, round(sum(exp(-(pow(x - cx, 2) + pow(y - cy, 2)) / 2)), 6) AS weight FROM p, c GROUP BY 1""")
 def clustered_weights(t):
     return areas.clustered_weights(t.places, 3, 1.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from odweave.functions.columns import top_rows
 from odweave.operators import graphs, regions, settlement
-from odweave.plans.fixtures import Tables, rounded, with_ctes
+from odweave.plans.fixtures import Tables, draw, rounded, with_ctes
 
 QUERIES, SQL = {}, {}
 
@@ -108,7 +108,7 @@ def flow_weighting(t):
     return settlement.flow_weighting(t.zone_flows)
 
 
-@query("sampled_parents")
+@query("sampled_parents", "z", f"SELECT from_id AS id, to_id AS parent FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY ln({draw(3, 'from_id', 'to_id')}) / strength DESC, to_id) AS r FROM z WHERE from_id <> to_id) WHERE r = 1")
 def sampled_parents(t):
     return settlement.sampled_parents(t.zone_flows, seed=3)
 
@@ -146,7 +146,11 @@ def hssm_nodality(t):
     return settlement.nodality(t.model, t.zone_flows)
 
 
-@query("hssm_outsim")
+@query("hssm_outsim", "z model", f"""{_VEC}, og AS (SELECT id, parent AS head FROM model WHERE stage = 'O'), me AS (SELECT id, head FROM og UNION SELECT head, head FROM og),
+ mw AS (SELECT id, head, outsum / nullif(sum(outsum) OVER (PARTITION BY head), 0)::DOUBLE AS ws FROM me JOIN vec USING (id)), en AS (SELECT from_id AS id, to_id AS other, strength AS v, 'o' AS way FROM z UNION ALL SELECT to_id, from_id, strength, 'i' FROM z),
+ rw AS (SELECT en.*, head FROM en JOIN mw USING (id) WHERE NOT EXISTS (SELECT 1 FROM me WHERE me.id = en.other AND me.head = mw.head)), tt AS (SELECT head, other, way, sum(v)::DOUBLE AS al FROM rw GROUP BY 1, 2, 3),
+ gr AS (SELECT mw.id, al * ws AS e, coalesce(rw.v, 0)::DOUBLE AS v FROM mw JOIN tt USING (head) LEFT JOIN rw ON rw.id = mw.id AND rw.head = mw.head AND rw.other = tt.other AND rw.way = tt.way)
+ SELECT id, round(sum(least(v, e)) / nullif(sum(greatest(v, e)), 0), 6) AS outsim FROM gr GROUP BY 1""")
 def hssm_outsim(t):
     return settlement.outflow_similarity(t.model, t.zone_flows)
 
@@ -196,29 +200,58 @@ for _b in ("maxflow", "heaviest", "stochastic", "improvement", "genetic"):
     query(f"hssm_build_{_b}")(lambda t, b=_b: settlement.build_model(t.zone_flows, b))
 
 
-@query("transition_criterion")
+@query("transition_criterion", "z model", """sy AS (SELECT id, CASE WHEN stage = 'O' THEN parent ELSE id END AS sys FROM model WHERE stage <> 'A'),
+ ou AS (SELECT from_id AS id, sum(strength)::DOUBLE AS w, coalesce(sum(strength) FILTER (WHERE from_id = to_id), 0)::DOUBLE AS self FROM z GROUP BY 1),
+ nr AS (SELECT a.sys, from_id, to_id, strength::DOUBLE AS v FROM z JOIN sy a ON a.id = from_id JOIN sy b ON b.id = to_id WHERE a.sys = b.sys AND from_id <> to_id),
+ ea AS (SELECT sys, id, sum(o) AS o, sum(i) AS i FROM (SELECT sys, from_id AS id, v AS o, 0 AS i FROM nr UNION ALL SELECT sys, to_id, 0, v FROM nr) GROUP BY 1, 2),
+ re AS (SELECT sys, avg(1 - coalesce(abs(o - i) / nullif(o + i, 0), 0)) AS reciprocity FROM ea GROUP BY 1), su AS (SELECT sys, sum(v) AS inside FROM nr GROUP BY 1),
+ ba AS (SELECT sys, sum(w - self) AS leaving, count(*) AS n FROM sy JOIN ou USING (id) GROUP BY 1),
+ ro AS (SELECT sys, coalesce(coalesce(inside, 0) / nullif(leaving, 0), 0) AS c, coalesce(reciprocity, 0) AS r FROM ba LEFT JOIN su USING (sys) LEFT JOIN re USING (sys) WHERE n > 1)
+ SELECT sys AS id, round(c, 6) AS cohesion, round(r, 6) AS reciprocity, round(sqrt(c * r), 6) AS organic FROM ro""")
 def transition_criterion(t):
     return settlement.transition_criterion(t.model, t.zone_flows)
 
 
-@query("hierarchy_regions")
+@query("hierarchy_regions", "u model", """me AS (SELECT id, CASE WHEN parent IS NULL THEN id ELSE parent END AS parent, coalesce(u.pop, 0)::DOUBLE AS w FROM model LEFT JOIN u USING (id) WHERE stage <> 'A'),
+ mi AS (SELECT sum(pop) / 5.0 AS m FROM u), tp AS (SELECT id FROM me WHERE id = parent OR parent NOT IN (SELECT id FROM me)),
+ up AS (SELECT id AS x, 0 AS d FROM tp UNION ALL SELECT me.id, d + 1 FROM me JOIN up ON me.parent = up.x AND me.id <> me.parent),
+ bt AS (SELECT (SELECT max(d) FROM up) AS d, [{'id': -1, 'l': 0.0::DOUBLE, 'r': false}] AS st UNION ALL
+   SELECT d - 1, list_concat(st, (SELECT list({'id': x, 'l': g, 'r': g >= (SELECT m FROM mi) OR x IN (SELECT id FROM tp)}) FROM (
+     SELECT x, w + coalesce((SELECT sum(s.l) FROM (SELECT unnest(bt.st) AS s) q JOIN me k ON k.id = s.id WHERE k.parent = up.x AND k.id <> up.x AND NOT s.r), 0) AS g FROM up JOIN me ON me.id = up.x WHERE up.d = bt.d) v)) FROM bt WHERE d >= 0),
+ hd AS (SELECT s.id AS id, s.r AS r FROM (SELECT unnest(st) AS s FROM bt WHERE d = -1)),
+ go AS (SELECT id, id AS pos FROM me UNION ALL SELECT go.id, me.parent FROM go JOIN hd ON hd.id = go.pos AND NOT hd.r JOIN me ON me.id = go.pos)
+ SELECT go.id, go.pos AS region FROM go JOIN hd ON hd.id = go.pos WHERE hd.r""", recursive=True)
 def hierarchy_regions(t):
     total = t.units.agg(F.sum("pop")).first()[0]
     return settlement.regions_by_weight(t.model, t.units.select("id", F.col("pop").alias("weight")), total / 5)
 
 
-@query("markov_mfpt")
+def _passage_sql(squarings: int = 10) -> str:
+    """Chains within strongly connected parts: the stationary row by squaring, the fundamental matrix as a sum of powers
+    of the transition matrix less that row, doubled each time."""
+    out = ["""n AS (SELECT from_id AS i FROM z UNION SELECT to_id FROM z), rc AS (SELECT i, i AS j FROM n UNION SELECT rc.i, z.to_id FROM rc JOIN z ON z.from_id = rc.j),
+ sc AS (SELECT x.i, x.j FROM rc x JOIN rc y ON x.i = y.j AND x.j = y.i), k AS (SELECT i, j, sum(v) AS v FROM (SELECT sc.i, sc.j, strength::DOUBLE AS v FROM z JOIN sc ON from_id = sc.i AND to_id = sc.j
+   UNION ALL SELECT i, i, 1.0 FROM n WHERE i NOT IN (SELECT from_id FROM z JOIN sc ON from_id = sc.i AND to_id = sc.j)) GROUP BY 1, 2),
+ p0 AS MATERIALIZED (SELECT sc.i, sc.j, coalesce(v, 0) / sum(v) OVER (PARTITION BY sc.i) AS v FROM sc LEFT JOIN k ON k.i = sc.i AND k.j = sc.j)"""]
+    times = "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {} a JOIN {} b ON a.j = b.i GROUP BY 1, 2"
+    out += [f"p{k} AS MATERIALIZED ({times.format(f'p{k - 1}', f'p{k - 1}')})" for k in range(1, squarings + 1)]
+    out += [f"q0 AS MATERIALIZED (SELECT p0.i, p0.j, p0.v - l.v AS v FROM p0 JOIN p{squarings} l USING (i, j))", "s0 AS MATERIALIZED (SELECT i, j, (i = j)::INT::DOUBLE AS v FROM sc)"]
+    for k in range(1, squarings + 1):
+        out.append(f"s{k} AS MATERIALIZED (SELECT i, j, s.v + t.v AS v FROM s{k - 1} s JOIN ({times.format(f'q{k - 1}', f's{k - 1}')}) t USING (i, j))")
+        out.append(f"q{k} AS MATERIALIZED ({times.format(f'q{k - 1}', f'q{k - 1}')})")
+    return ", ".join(out) + f" SELECT a.i AS from_id, a.j AS to_id, round(((a.i = a.j)::INT - a.v + d.v) / l.v, 6) AS steps, round(l.v, 6) AS pi FROM s{squarings} a JOIN s{squarings} d ON d.i = a.j AND d.j = a.j JOIN p{squarings} l ON l.i = a.i AND l.j = a.j"
+
+
+@query("markov_mfpt", "z", _passage_sql(), recursive=True)
 def markov_mfpt(t):
     return graphs.mean_first_passage(t.zone_flows)
 
 
-_EDGE = "ed AS (SELECT from_id, to_id, 1000.0 / strength AS cost FROM z WHERE (from_id + to_id) % 3 = 0 AND from_id <> to_id)"
+_EDGE = "ed AS (SELECT from_id, to_id, 1000.0 / strength AS cost FROM z WHERE from_id <> to_id)"
 
 
 def _edges(t):
-    return t.zone_flows.where("(from_id + to_id) % 3 = 0 AND from_id <> to_id").select("from_id", "to_id", (F.lit(1000.0) / F.col("strength")).alias("cost"))
-
-
+    return t.zone_flows.where("from_id <> to_id").select("from_id", "to_id", (F.lit(1000.0) / F.col("strength")).alias("cost"))
 
 
 @query("shortest_distances", "z", f"{_EDGE}, s1 AS (SELECT from_id, to_id, min(cost) AS c FROM ed GROUP BY 1, 2), " + ", ".join(
@@ -228,7 +261,9 @@ def shortest_distances(t):
     return graphs.min_closure(_edges(t))
 
 
-@query("shortest_distances_product")
+@query("shortest_distances_product", "z", f"{_EDGE}, s1 AS (SELECT from_id, to_id, min(1 + cost) AS c FROM ed GROUP BY 1, 2), " + ", ".join(
+    f"s{2**k} AS (SELECT from_id, to_id, min(c) AS c FROM (SELECT * FROM s{2 ** (k - 1)} UNION ALL SELECT a.from_id, b.to_id, a.c * b.c FROM s{2 ** (k - 1)} a JOIN s{2 ** (k - 1)} b ON a.to_id = b.from_id WHERE a.from_id <> b.to_id) GROUP BY 1, 2)" for k in range(1, 6))
+    + " SELECT from_id, to_id, round(c, 6) AS cost FROM s32")
 def shortest_distances_product(t):
     return graphs.min_closure(_edges(t).withColumn("cost", 1 + F.col("cost")), product=True)
 

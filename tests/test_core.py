@@ -10,9 +10,9 @@ from odweave.operators import calibrate, iterate, raster, spatial, windows
 from odweave.sources import tables
 
 
-@pytest.mark.parametrize("few", [iterate.FEW_EDGES, 0])
+@pytest.mark.parametrize("few", [iterate.BROADCAST_ROWS, 0])
 def test_components_equal_union_find(spark, monkeypatch, few):
-    monkeypatch.setattr(iterate, "FEW_EDGES", few)
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", few)
     rng = random.Random(4)
     for n, m in ((50, 30), (200, 150), (300, 600)):
         edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(i, i + 1) for i in range(n, n + 70)]
