@@ -9,7 +9,8 @@ then shuffled globally by a hash of document and copy number.
 Counting sources is a partial aggregation; the rates (one row a source) are broadcast up to ``BROADCAST_ROWS`` of
 them and join by a shuffle beyond. The shuffle key is spread evenly whatever the sources' sizes.
 
-Defined cases: a NULL source is a source of its own; NULL ids hash as empty text; a source without a weight (with
+Defined cases: a NULL source is a source of its own; rows whose id is NULL draw by their content, and rows of equal
+content each draw on their own, by number; rows that repeat an id with other content draw alike; a source without a weight (with
 ``weights``) gets weight 0 and vanishes; weights are normalised to sum 1; an empty table gives no rows; columns of
 the input keep their names, and an added column whose name is taken gets ``_`` appended.
 """
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 RATE_PART = 32.0
 BROADCAST_ROWS = 200_000
+#: Equal rows that are made from their folded one in one go.
+PIECE_ROWS = 1_000
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -68,24 +71,45 @@ def source_rates(documents: DataFrame, weights: dict[str, float] | None = None,
     return rated.select("source", "parts", poisson_thresholds(F.col("part")).alias("cuts"))
 
 
+def _tagged(documents: DataFrame, id_col: str, source_col: str) -> DataFrame:
+    """``(row, src, tag)``: every row with the text that its draw hashes: the id, and for rows of equal content a number.
+
+    Only rows whose id is NULL or repeats are compared with others. They fold to one row and a count by a digest of
+    their content (on the map side first), and the count is dealt out again in pieces, so many equal rows spread.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(row.alias("row"), F.col(f"`{source_col}`").alias("src"), F.col(f"`{id_col}`").alias("own"))
+    text = F.coalesce(F.col("own").cast("string"), F.lit(""))
+    shared = rows.groupBy(F.col("own").alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR i IS NULL").select("i")
+    several = shared.count()
+    if not several:
+        return rows.select("row", "src", text.alias("tag"))
+    shared = F.broadcast(shared) if several <= BROADCAST_ROWS else shared
+    same = F.col("own").eqNullSafe(F.col("i"))
+    folded = rows.join(shared, same, "left_semi").withColumn("digest", F.md5(F.to_json("row").cast("binary")))
+    folded = folded.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("row", "src", "own")], F.count(F.lit(1)).alias("n"))
+    pieces = folded.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE_ROWS).cast("long")))).repartition("digest", "low")
+    each = pieces.withColumn("number", F.explode(F.sequence(F.col("low") + 1, F.least(F.col("low") + PIECE_ROWS, F.col("n")))))
+    plain = F.col("own").isNotNull() & (F.col("number") == 1)
+    each = each.select("row", "src", F.when(plain, text).otherwise(F.concat_ws(":", text, "digest", F.col("number").cast("string"))).alias("tag"))
+    return rows.join(shared, same, "left_anti").select("row", "src", text.alias("tag")).union(each)
+
+
 def mix(
     documents: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
     """All columns of the documents, each row repeated by its count, with ``copy`` (from 1) and ``n_copies``."""
-    columns = documents.columns
     copy_name, count_name = free_name(documents, "copy"), free_name(documents, "n_copies")
     rates = source_rates(documents, weights, source_col)
     side = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    rows = rows.join(side, F.col(f"row.`{source_col}`").eqNullSafe(F.col("source")))
-    own = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
+    rows = _tagged(documents, id_col, source_col).join(side, F.col("src").eqNullSafe(F.col("source")))
 
     def part(i: Column) -> Column:
-        u = uniform(F.concat_ws(":", F.lit(seed), i.cast("string"), own))
+        u = uniform(F.concat_ws(":", F.lit(seed), i.cast("string"), "tag"))
         return F.size(F.filter("cuts", lambda c: c <= u))
 
     count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, i: acc + part(i))
-    rows = rows.select("row", count.alias("n")).where("n > 0").select("row", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
-    rows = rows.withColumn("key", F.xxhash64(F.lit(f"{seed}:order"), own, F.col("k"), F.hash("row")))
+    rows = rows.select("row", "tag", count.alias("n")).where("n > 0").select("row", "tag", "n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    rows = rows.withColumn("key", F.xxhash64(F.lit(f"{seed}:order"), "tag", "k"))
     rows = rows.repartition("key").sortWithinPartitions("key")
     return rows.select("row.*", F.col("k").alias(copy_name), F.col("n").alias(count_name))
