@@ -2,11 +2,12 @@
 
 A test item of m characters may differ in ``k = floor(rate * m)`` edits from the passage that leaks it. Cut into
 k + 1 pieces, at least one piece then stands in the passage unchanged. All pieces of all items form one Aho-Corasick
-automaton; each hit fixes where the item would start, give or take k, and the window around it is verified with
-Myers' bit vectors (one whole-number word as long as the item). So every occurrence within the budget is found.
+automaton; each hit fixes where the item would start, give or take k, and the windows around the hits are verified with
+Myers' bit vectors (one whole-number word as long as the item). So all occurrences within the budget are found, one
+after the other without overlap.
 
-The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters: each block's automaton has a bounded size and
-is built once in each task of a pass over the documents.
+The benchmark is read in blocks of about ``BLOCK_CHARS`` characters, which are broadcast: each block's automaton has a
+bounded size and is built once in each task of a pass over the documents.
 
 Case folds A-Z, and each white-space character counts as a space; spans are code points of the original text.
 Defined cases: NULL and empty texts have no match; NULL, empty and blank items match nothing; equal items all match;
@@ -19,8 +20,10 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from odweave.llm.text import clean, small_batches
 
@@ -81,44 +84,63 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[object, int, int, int]]:
-        """``(item id, start, end, distance)`` of the best occurrence in each window of hits."""
-        if not self.items or not text:
-            return []
-        text, starts = folded(text), {}
+    def _windows(self, text: str) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Each item that pieces hit, with the stretches of text that hold all its occurrences; they do not overlap."""
+        starts: dict[int, set[int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for item, offset in where:
                 starts.setdefault(item, set()).add(end + 1 - length - offset)
-        out = []
         for item, found in sorted(starts.items()):
+            _, pattern, k, *_ = self.items[item]
+            spans: list[list[int]] = []
+            for s in sorted(found):
+                low, high = max(0, s - k), min(len(text), s + len(pattern) + k)
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], high)
+                else:
+                    spans.append([low, high])
+            yield item, [(low, high) for low, high in spans]
+
+    def matches(self, text: str) -> list[tuple[object, int, int, int]]:
+        """``(item id, start, end, distance)`` of all occurrences of the items; those of one item do not overlap.
+
+        From the left, the first end within the budget and the best end up to twice the budget later (the first of equal
+        ones) make an occurrence; the search goes on behind it.
+        """
+        if not self.items or not text:
+            return []
+        text, out = folded(text), []
+        for item, spans in self._windows(text):
             item_id, pattern, k, forward, backward = self.items[item]
-            done = -1
-            for first, last in _runs(sorted(found), 2 * k):
-                exact = next((s for s in sorted(found) if first <= s <= last and s >= done and text.startswith(pattern, max(s, 0)) and s >= 0), None)
-                if exact is not None:
-                    out.append((item_id, exact, exact + len(pattern), 0))
-                    done = exact + len(pattern)
-                    continue
-                low = max(0, first - k, done)
-                window = text[low : last + len(pattern) + k]
-                best, at = min(((d, i) for i, d in enumerate(forward.distances(window))), default=(k + 1, 0))
-                if best > k:
-                    continue
-                back = window[: at + 1][::-1][: len(pattern) + k]
-                start = next(i for i, d in enumerate(backward.distances(back)) if d == best)
-                out.append((item_id, low + at - start, low + at + 1, best))
-                done = low + at + 1
+            for low, high in spans:
+                while low < high:
+                    best = None
+                    for i, d in enumerate(forward.distances(text[low:high])):
+                        if best is None and d <= k:
+                            best, last = (d, i), i + 2 * k
+                        if best is not None:
+                            if i > last:
+                                break
+                            best = min(best, (d, i))
+                    if best is None:
+                        break
+                    distance, at = best
+                    back = text[low : low + at + 1][::-1][: len(pattern) + k]
+                    length = next(i + 1 for i, d in enumerate(backward.distances(back)) if d == distance)
+                    out.append((item_id, low + at + 1 - length, low + at + 1, distance))
+                    low += at + 1
         return out
 
-
-def _runs(values: list[int], gap: int) -> Iterator[tuple[int, int]]:
-    first = last = values[0]
-    for v in values[1:]:
-        if v - last > gap:
-            yield first, last
-            first = v
-        last = v
-    yield first, last
+    def leaks(self, text: str) -> bool:
+        """Whether any item occurs."""
+        if not self.items or not text:
+            return False
+        text = folded(text)
+        for item, spans in self._windows(text):
+            _, _, k, forward, _ = self.items[item]
+            if any(d <= k for low, high in spans for d in forward.distances(text[low:high])):
+                return True
+        return False
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
@@ -139,10 +161,13 @@ def contamination(
     id_type, item_type = documents.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = f"`{id_col}` {id_type.simpleString()}, `{item_col}` {item_type.simpleString()}, start int, `end` int, distance int"
     read = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    item_arrow = to_arrow_type(item_type)
 
     def scan(items: list[tuple[object, str]]) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
+            matcher = Matcher(shared.value, rate)
             for batch in batches:
                 rows, found = [], []
                 for i, text in enumerate(clean(batch.column(1)).to_pylist()):
@@ -151,7 +176,7 @@ def contamination(
                     found += own
                 if found:
                     item, start, end, distance = zip(*found, strict=True)
-                    columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item), *(pa.array(x, pa.int32()) for x in (start, end, distance))]
+                    columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_arrow), *(pa.array(x, pa.int32()) for x in (start, end, distance))]
                     yield pa.RecordBatch.from_arrays(columns, [id_col, item_col, "start", "end", "distance"])
 
         return read.mapInArrow(kernel, schema)
@@ -167,13 +192,16 @@ def clean_rows(documents: DataFrame, benchmark: DataFrame, item_col: str = "item
     small_batches(documents)
     out = documents
     for items in _blocks(benchmark, id_col=item_col, text_col=text_col):
-        out = out.where(~_leaks(items, rate)(F.col(f"`{text_col}`")))
+        out = out.where(~_leaks(out.sparkSession.sparkContext.broadcast(items), rate)(F.col(f"`{text_col}`")))
     return out
 
 
-def _leaks(items: list[tuple[object, str]], rate: float):
+def _leaks(items: Broadcast, rate: float):
+    built: list[Matcher] = []  # the function is unpickled once a task, so the automaton is built once a task
+
     def kernel(texts: pa.Array) -> pa.Array:
-        matcher = Matcher(items, rate)
-        return pa.array([bool(matcher.matches(t)) for t in clean(texts).to_pylist()], pa.bool_())
+        if not built:
+            built.append(Matcher(items.value, rate))
+        return pa.array([built[0].leaks(t) for t in clean(texts).to_pylist()], pa.bool_())
 
     return F.arrow_udf(kernel, "boolean")

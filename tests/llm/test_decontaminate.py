@@ -60,6 +60,50 @@ def test_finds_every_occurrence_within_budget(spark):
         assert least_distance(names[r.item_id], d.folded(texts[r.doc_id])[r.start : r.end]) == r.distance
 
 
+def distances(pattern, text):
+    """The plain programme: least distance of the pattern to any substring that ends behind each character."""
+    column, out = list(range(len(pattern) + 1)), []
+    for c in text:
+        nxt = [0]
+        for i, p in enumerate(pattern, 1):
+            nxt.append(min(column[i - 1] + (p != c), column[i] + 1, nxt[-1] + 1))
+        column = nxt
+        out.append(column[-1])
+    return out
+
+
+def brute_occurrences(pattern, text, k):
+    """One after the other over the whole text: the best end up to 2 k behind the first one within the budget."""
+    out, low = [], 0
+    while True:
+        ends = distances(pattern, text[low:])
+        first = next((i for i, x in enumerate(ends) if x <= k), None)
+        if first is None:
+            return out
+        at = min(range(first, min(len(ends), first + 2 * k + 1)), key=lambda i: (ends[i], i))
+        start = max(s for s in range(at + 2) if distances(pattern, text[low + s : low + at + 1])[-1:] == [ends[at]] and min(distances(pattern[::-1], text[low + s : low + at + 1][::-1])) == ends[at])
+        out.append((low + start, low + at + 1, ends[at]))
+        low += at + 1
+
+
+def test_positions_equal_a_search_of_the_whole_text():
+    rng = random.Random(9)
+    for _ in range(150):
+        item = "".join(rng.choice("ab ") for _ in range(rng.randrange(5, 12))) * rng.randrange(1, 5)
+        item = (d.folded(item).strip() or "ab") + "cdc"
+        text = "".join(rng.choice([item, edited(rng, item, 1), edited(rng, item, 2), "abc", " ", "bb"]) for _ in range(rng.randrange(0, 7)))
+        matcher = d.Matcher([(1, item)], 0.15)
+        want = brute_occurrences(item, text, int(0.15 * len(item)))
+        assert [m[1:] for m in matcher.matches(text)] == want
+        assert matcher.leaks(text) == bool(want)
+
+
+def test_periodic_item_three_times():
+    item = "abcabcabc " * 6
+    matcher = d.Matcher([(1, item)], d.RATE)
+    assert [m[1:] for m in matcher.matches(item * 3)] == [(60 * i, 60 * i + 59, 0) for i in range(3)]
+
+
 def test_edge_cases(spark, monkeypatch):
     long = "x" * 300_000 + " the quick brown fox jumps over the lazy dog again and again " + "y" * 300_000
     item = "the quick brown fox jumps over the lazy dog again and again"
