@@ -104,7 +104,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 _CUES = (
     ("phone", re.compile(r"(?i)tel|phone|call|fax|mobile|cell|contact|whatsapp|dial")), ("card", re.compile(r"(?i)card|visa|master|credit|payment")),
     ("id", re.compile(r"(?i)ssn|social|security|tax")), ("bank", re.compile(r"(?i)iban|bank|account|transfer")), ("net", re.compile(r"(?i)\bip|address|host|server")),
-    ("mail", re.compile(r"(?i)mail|write|contact|@")), ("other", re.compile(r"(?i)order|invoice|version|ref|isbn|serial|date|page|lot|total|price|no\.|id\b|model|build|time|year")),
+    ("mail", re.compile(r"(?i)mail|write|contact|@")), ("other", re.compile(r"(?i)\bpart\b|article|order|invoice|version|ref|isbn|serial|date|page|lot|total|price|no\.|id\b|model|build|time|year")),
 )
 _ALL_KINDS = (*KINDS, *ADDED)
 
@@ -121,6 +121,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     row += [float(bool(p.search(before))) for _, p in _CUES]
     row += [sum(c.isdigit() for c in before), sum(c.isdigit() for c in after), float(before[-1:] in "#$€£"), float(before[-1:] in ".,-/"), float(after[:1] in ".,-/%€$")]
     row.append(float(bool(re.match(r"(?:19|20)[0-9]{2}", groups[0] if groups else ""))))
+    last = re.search(r"[A-Za-z0-9-]+\Z", span)
+    row += [float(" . " in span), float("dot" in span.lower()), float(len(last[0])) if last else 0.0, float(bool(last) and not last[0].islower())]
     return row
 
 
@@ -133,6 +135,9 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
     def filler(k: int) -> str:
         return " ".join(word() for _ in range(k))
 
+    def mailbox() -> str:
+        return word() + rng.choice(["", "", number(2), f".{word()}", f"_{word()}", f"-{word()}"])
+
     def card() -> str:
         body = number(12 + rng.randrange(0, 3))
         check = next(c for c in "0123456789" if luhn(body + c))
@@ -150,7 +155,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
         "ssn": (lambda: f"{rng.randrange(1, 900):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}", ("ssn", "social security number", "tax id", "", "")),
         "iban": (lambda: f"{rng.choice(['DE', 'FR', 'ES', 'GB', 'NL'])}{number(2)}" + rng.choice([" ", ""]).join(["", *(number(4) for _ in range(4))]) + rng.choice(["", f" {number(2)}"]), ("iban", "bank account", "transfer to", "")),
         "ip": (lambda: ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), ("ip", "server", "from address", "")),
-        "email": (lambda: f"{word()}{rng.choice([' [at] ', '(at)', ' (at) '])}{word()}{rng.choice([' [dot] ', '.', ' (dot) '])}{rng.choice(['com', 'org', 'net'])}", ("mail", "write to", "contact", "")),
+        "email": (lambda: f"{mailbox()}{rng.choice([' [at] ', '(at)', ' (at) ', '[at]', ' {at} '])}{rng.choice(['', f'{word()}.', f'{word()}-'])}{word()}{rng.choice([' [dot] ', '.', ' (dot) ', '(dot)'])}{rng.choice(['com', 'org', 'net', 'de', 'uk', 'io', 'info'])}", ("mail", "write to", "contact", "")),
     }
     false = {
         "phone": (lambda: rng.choice([f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}.{number(2)}.19{number(2)}", f"{number(2)} {number(3)} {number(3)}", f"{number(3)} {number(2)}", f"{number(4)}/{number(2)}", f"{number(5)}-{number(8)}-{number(4)}", f"{number(2)}.{number(2)}"]), ("order", "version", "isbn", "date", "pages", "total", "", "", "", "ref")),
@@ -158,7 +163,7 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, int, int,
         "ssn": (lambda: f"{number(3)}-{number(2)}-{number(4)}", ("order", "part no.", "model", "invoice", "lot")),
         "iban": (lambda: "AB12" + "".join(rng.choice("ABCDEFGHJK0123456789") for _ in range(16)), ("serial", "key", "build", "model", "")),
         "ip": (lambda: ":".join(number(2) for _ in range(rng.randrange(4, 6))), ("time", "at", "ratio", "")),
-        "email": (lambda: f"{word()} (at) {word()} . {word()}", ("meet", "sold", "", "price")),
+        "email": (lambda: f"{word()} {rng.choice(['(at)', '[at]'])} {word()}{rng.choice([' . ', ' . ', '.'])}{rng.choice([word(), word().title() + 'ing'])}{rng.choice(['', 'tion'])}", ("meet", "sold", "", "price")),
     }
     out = []
     while len(out) < n:
@@ -190,23 +195,27 @@ class Detector:
             pass_ = np.flatnonzero(good >= precision)
             self.thresholds[kind] = float(margin[own][order][pass_[-1]]) if len(pass_) else float("inf")
 
-    def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-        """Base findings, and all findings."""
-        base, rows = base_spans(text), proposals(text)
-        taken = sorted((a, b) for _, a, b in base)
-        if taken:
-            starts = np.array([a for a, _ in taken])
-            ends = np.maximum.accumulate([b for _, b in taken])
-            rows = [r for r in rows if not _overlaps(starts, ends, r)]
-        if not rows:
-            return base, base
-        margin = self.model.margin(np.array([features(text, *r) for r in rows], float))
-        chosen, added = Chosen(), []
-        for i in np.argsort(-margin, kind="stable"):
-            kind, a, b = rows[i]
-            if margin[i] >= self.thresholds[kind] and chosen.take(a, b):
-                added.append((kind, a, b))
-        return base, sorted([*base, *added], key=lambda s: (_ALL_KINDS.index(s[0]), s[1], s[2]))
+    def spans(self, texts: list[str]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+        """Base findings, and all findings, of each text; the trees score the proposals of all texts at once."""
+        found = [base_spans(t) for t in texts]
+        asked: list[tuple[int, str, int, int]] = []
+        for i, (text, base) in enumerate(zip(texts, found, strict=True)):
+            rows = proposals(text)
+            if rows and base:
+                taken = sorted((a, b) for _, a, b in base)
+                starts, ends = np.array([a for a, _ in taken]), np.maximum.accumulate([b for _, b in taken])
+                rows = [r for r in rows if not _overlaps(starts, ends, r)]
+            asked += [(i, *r) for r in rows]
+        added: dict[int, list[tuple[str, int, int]]] = {}
+        if asked:
+            margin = self.model.margin(np.array([features(texts[i], *r) for i, *r in asked], float))
+            chosen: dict[int, Chosen] = {}
+            for j in np.argsort(-margin, kind="stable"):
+                i, kind, a, b = asked[j]
+                if margin[j] >= self.thresholds[kind] and chosen.setdefault(i, Chosen()).take(a, b):
+                    added.setdefault(i, []).append((kind, a, b))
+        listed = lambda base, own: sorted([*base, *own], key=lambda s: (_ALL_KINDS.index(s[0]), s[1], s[2])) if own else base
+        return [(base, listed(base, added.get(i))) for i, base in enumerate(found)]
 
 
 def _overlaps(starts: np.ndarray, ends: np.ndarray, span: tuple[str, int, int]) -> bool:
@@ -233,8 +242,7 @@ def find_pii(documents: DataFrame, found_by: Detector | None = None, id_col: str
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, listed = [], [], []
-            for text in clean(batch.column(1)).to_pylist():
-                base, every = model.spans(text)
+            for base, every in model.spans(clean(batch.column(1)).to_pylist()):
                 counts.append([sum(k == kind for k, _, _ in base) for kind in KINDS])
                 digests.append(hashlib.sha256(_listed(base).encode()).hexdigest())
                 listed.append(_listed(every))
@@ -253,7 +261,7 @@ def redact(text: str | None, found_by: Detector | None = None) -> str | None:
     if not text:
         return text
     out, done = [], 0
-    for kind, a, b in sorted((found_by or detector()).spans(text)[1], key=lambda s: (s[1], -s[2])):
+    for kind, a, b in sorted((found_by or detector()).spans([text])[0][1], key=lambda s: (s[1], -s[2])):
         if b > done:
             out += [text[done : max(a, done)], f"<{kind}>" if a >= done else ""]
             done = b

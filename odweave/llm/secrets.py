@@ -1,9 +1,10 @@
 """Operator 2, secret scans: rule candidates, and a random forest that removes false positives.
 
-Rules with high recall propose candidates: key formats of well-known services, private key blocks, values assigned to
-names like ``password``, and long mixed tokens. A random forest scores each from its length, its transitions between
+Rules with high recall propose candidates: key formats of well-known services, private key blocks up to their END line
+(or the next dashes, or the end of the text), values assigned to names like ``password``, and long mixed tokens; none
+has a largest length. A random forest scores each from its length, its transitions between
 character classes, how much of it dictionary words cover, the document's path, and the neighbouring words. Candidates
-below ``THRESHOLD`` are dropped; of overlapping ones the higher score stays.
+below ``THRESHOLD`` are dropped; of overlapping ones the longest stays, of equally long ones the higher score.
 
 The forest is trained from labelled findings. The tables have none, so :func:`labelled_findings` writes true secrets
 and look-alikes (placeholders, hashes of commits, identifiers, checksums) from a seed; ``scanner`` takes any other list.
@@ -37,13 +38,13 @@ THRESHOLD = 0.5
 #: Fixed formats of public key types; the group that matched is the secret.
 _RULES = (
     ("aws_key", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[0-9A-Z]{16})(?![A-Za-z0-9])")),
-    ("github_token", re.compile(r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,255})")),
+    ("github_token", re.compile(r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,}+)")),
     ("slack_token", re.compile(r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,})")),
     ("google_key", re.compile(r"(?<![A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})")),
     ("jwt", re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})")),
-    ("private_key", re.compile(r"(-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)")),
-    ("assigned", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{6,200})")),
-    ("mixed_token", re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{20,200}={0,2})(?![A-Za-z0-9+/=_-])")),
+    ("private_key", re.compile(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:[^-]|-(?!----))*+(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?)")),
+    ("assigned", re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*+[=:]\s*+[\"']?([^\s\"',;]{6,}+)")),
+    ("mixed_token", re.compile(r"(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{20,}+={0,2}+)(?![A-Za-z0-9+/=_-])")),
 )
 #: What a text must hold for a rule to be tried at all.
 _NEEDS = {"aws_key": ("AKIA", "ASIA"), "github_token": ("gh",), "slack_token": ("xox",), "google_key": ("AIza",), "jwt": ("eyJ",), "private_key": ("-----BEGIN",)}
@@ -106,11 +107,16 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     hexa = lambda k: pick("0123456789abcdef", k)
     name = lambda: rng.choice(["password", "token", "secret", "api_key", "passwd", "auth", "access_key"])
 
+    def key_block() -> tuple[str, str]:
+        kind, lines = rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK"]), rng.randrange(1, 25)
+        body = "\n".join(pick(alnum + "+/", 64) for _ in range(lines))
+        return "", f"-----BEGIN {kind}-----\n{body}\n" + rng.choice([f"-----END {kind}-----", ""])
+
     def true() -> tuple[str, str]:
         value = rng.choice([hexa(rng.choice([18, 20, 32, 40])), pick(alnum, rng.randrange(16, 44)), pick(alnum + "!@#%&", rng.randrange(10, 20))])
         return rng.choice([
             ("", "AKIA" + pick(upper, 16)), ("", "ghp_" + pick(alnum, 36)), ("", "xoxb-" + pick(string.digits, 11) + "-" + pick(alnum, 24)), ("", "AIza" + pick(alnum, 35)),
-            ("", f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, 50)}.{pick(alnum, 43)}"), ("", "-----BEGIN RSA PRIVATE KEY-----"),
+            ("", f"eyJ{pick(alnum, 30)}.eyJ{pick(alnum, 50)}.{pick(alnum, 43)}"), key_block(),
             (f"{name()}=", value), (f'{name()} = "', value), (f"{name()}: ", value), (f"bearer ", pick(alnum, 40)), (f"key ", pick(alnum + "+/", 40)),
         ])
 
@@ -154,7 +160,8 @@ class Scanner:
             return out
         score = self.forest.score(np.array([features(*rows[i], rule, a, b) for i, rule, a, b in found], float))
         chosen = [Chosen() for _ in rows]
-        for k in np.argsort(-score, kind="stable"):
+        length = np.array([b - a for *_, a, b in found])
+        for k in np.lexsort((-score, -length)):
             i, rule, a, b = found[k]
             if score[k] >= self.threshold and chosen[i].take(a, b):
                 out[i].append((rule, a, b, float(score[k])))
