@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.quotient import CountingQuotientFilter
@@ -35,6 +35,8 @@ from odweave.operators.iterate import shared_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Quotient bits of the filters; more only makes the bit vectors longer.
 QUOTIENT_BITS = 16
+#: Fingerprints (8 bytes each) that one range is to merge.
+RANGE_ROWS = 4_000_000
 #: Repeated fingerprints up to this number (8 bytes each) are broadcast; beyond it they join by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -44,6 +46,10 @@ def _fingerprints(texts: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in folded), np.uint64, len(folded)).view(np.int64)
 
 
+def _sha256(text: Column) -> Column:
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER).cast("binary"), 256)
+
+
 def light_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, sha)`` of each row: fingerprint and SHA-256 of the folded text."""
 
@@ -62,6 +68,11 @@ def light_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return read.mapInArrow(kernel, f"id {read.schema['id'].dataType.simpleString()}, fp long, sha string")
 
 
+def ranges_for(rows: int) -> int:
+    """Ranges of fingerprints that leave each about RANGE_ROWS of them."""
+    return max(8, -(-rows // RANGE_ROWS))
+
+
 def repeated_fingerprints(fingerprints: DataFrame, ranges: int) -> DataFrame:
     """Fingerprints (column ``fp``) that occur more than once, through merged counting quotient filters."""
 
@@ -87,9 +98,7 @@ def repeated_fingerprints(fingerprints: DataFrame, ranges: int) -> DataFrame:
 
 def duplicate_groups(df: DataFrame, light: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each text that several rows share: ``(sha, keep_id, group_size)``, compared byte by byte."""
-    spark = df.sparkSession
-    ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dup = shared_table(repeated_fingerprints(light, ranges), "fingerprints")
+    dup = shared_table(repeated_fingerprints(light, ranges_for(light.count())), "fingerprints")
 
     fingerprint = F.arrow_udf(lambda t: pa.array(_fingerprints(t)), "long")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -98,7 +107,7 @@ def duplicate_groups(df: DataFrame, light: DataFrame, id_col: str = "doc_id", te
     candidates = rows.join(side, "fp").select("id", F.translate("text", UPPER, LOWER).alias("text"))
     groups = candidates.groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.where("group_size > 1")
-    return groups.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "keep_id", "group_size")
+    return groups.select(_sha256(F.col("text")).alias("sha"), "keep_id", "group_size")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,12 +130,9 @@ def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups = shared_table(duplicate_groups(df, light, id_col, text_col).select("sha", "keep_id"), "groups")
     small = groups.count() <= BROADCAST_ROWS
     side = F.broadcast(groups) if small else groups
-    sha = F.arrow_udf(
-        lambda t: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in pc.ascii_lower(clean(t)).to_pylist()]), "string"
-    )
     # The row travels in a struct, so that no name of the input can clash with one of this plan.
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    rows = rows.withColumn("sha", sha(F.col(f"row.`{text_col}`")))
+    rows = rows.withColumn("sha", _sha256(F.col(f"row.`{text_col}`")))
     found = rows.join(side.withColumn("hit", F.lit(True)), "sha", "left")
     wins = F.col(f"row.`{id_col}`").eqNullSafe(F.col("keep_id"))
     # Only where a group's kept id stands in several rows (repeated rows, or NULL ids alone) one of them is picked.

@@ -40,22 +40,31 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: Iterable[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """The filters' sorted lists of (quotient, remainder) become one; equal entries add their counts.
+
+        The stable sort of 64-bit numbers is a natural merge sort: it takes the presorted lists as runs and merges them.
+        """
         filters = list(filters)
-        every = np.concatenate([f.fingerprints() for f in filters])
-        counts = np.concatenate([f.counts for f in filters])
-        order = np.argsort(every, kind="stable")  # merges the sorted lists (timsort finds the runs)
-        every, counts = every[order], counts[order]
+        lists = [f.fingerprints() for f in filters]
+        every = np.sort(np.concatenate(lists), kind="stable")
         first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
-        return cls._from_sorted(filters[0].q, every[first], np.add.reduceat(counts, first) if len(first) else counts)
+        found, counts = every[first], np.diff(np.append(first, len(every)))
+        for own, f in zip(lists, filters, strict=True):
+            many = np.flatnonzero(f.counts > 1)
+            counts[np.searchsorted(found, own[many])] += f.counts[many] - 1
+        return cls._from_sorted(filters[0].q, found, counts)
 
     def to_bytes(self) -> bytes:
-        """Header, the bit vectors, the remainders, and the counts above one with their positions."""
+        """Header, the bit vectors, the remainders in as many bytes as they need, and the counts above one with their
+        positions."""
         many = np.flatnonzero(self.counts > 1)
         head = np.array([self.q, len(self.remainders), len(many)], np.int64)
         occupied = np.flatnonzero(self.occupieds).astype(np.uint32)
         dense = len(occupied) * 32 > len(self.occupieds)  # a sparse filter lists its occupied quotients
         parts = [head, np.array([len(occupied), dense], np.int64)]
-        parts += [np.packbits(self.occupieds) if dense else occupied, np.packbits(self.runends), self.remainders]
+        width = -(-(64 - self.q) // 8)
+        packed = np.ascontiguousarray(self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+        parts += [np.packbits(self.occupieds) if dense else occupied, np.packbits(self.runends), packed]
         return b"".join(p.tobytes() for p in [*parts, many.astype(np.int64), self.counts[many].astype(np.int64)])
 
     @classmethod
@@ -74,7 +83,10 @@ class CountingQuotientFilter:
         else:
             occupied = take(np.uint32, n_occupied).astype(np.int64)
         runends = np.unpackbits(take(np.uint8, n + 7 >> 3))[:n].astype(bool)
-        remainders = take(np.uint64, n)
+        width = -(-(64 - int(q)) // 8)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = take(np.uint8, n * width).reshape(n, width)
+        remainders = wide.reshape(-1).view("<u8").astype(np.uint64)
         many, above = take(np.int64, n_many), take(np.int64, n_many)
         counts = np.ones(n, np.int64)
         counts[many] = above
