@@ -169,3 +169,47 @@ def bessel_i1(x: Column, terms: int = 40) -> Column:
 def bessel_ratio(x: Column) -> Column:
     """I1 / I0, the mean resultant length of a von Mises distribution."""
     return bessel_i1(x) / bessel_i0(x)
+
+
+# ---- sets of rows ----
+def id_union(*tables: DataFrame, name: str = "id") -> DataFrame:
+    """The distinct ids of one-column tables, sorted; NULL is no id."""
+    out = None
+    for t in tables:
+        one = t.toDF(name)
+        out = one if out is None else out.union(one)
+    return out.where(F.col(name).isNotNull()).distinct().orderBy(name)
+
+
+def stacked(tables: dict[str, DataFrame], key: str) -> DataFrame:
+    """All rows of the tables, by column name, with the name of their table; a column that a table lacks is NULL."""
+    out = None
+    for name, t in tables.items():
+        one = t.withColumn(key, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+# ---- arrays ----
+def rolled(values: Column, n: int) -> Column:
+    """The last ``n`` elements come first."""
+    size = F.size(values)
+    return F.concat(F.slice(values, size - n + 1, F.lit(n)), F.slice(values, F.lit(1), size - n))
+
+
+def argmax(values: Column) -> Column:
+    """Place of the first largest element, from 0."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+
+
+def running_sum(values: Column) -> Column:
+    return F.aggregate(values, F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + v)))
+
+
+def search_sorted(values: Column, value: Column) -> Column:
+    """Place of the first element that is not below ``value``, from 0; the length if there is none."""
+    return F.size(F.filter(values, lambda v: v < value))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)

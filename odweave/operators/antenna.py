@@ -115,10 +115,10 @@ def adjusted(observations: DataFrame, signals_of, antennas: DataFrame, rounds: i
     return antennas
 
 
-def fit_antennas(observations: DataFrame, steps: int = 60, population: int = 25, seed: int = 1, method: str = "em") -> DataFrame:
+def fit_antennas(observations: DataFrame, steps: int = 60, population: int = 25, seed: int = 1, method: str = "climb") -> DataFrame:
     """``(antenna, range, angle, kappa, loglik)`` by maximum likelihood of each antenna's weighted observations.
 
-    ``em`` climbs from the moments by coordinate steps that halve; ``genetic`` breeds a population of parameter sets
+    ``climb`` goes from the moments by coordinate steps that halve; ``genetic`` breeds a population of parameter sets
     (averaging, mixing, mutation). An antenna is one task: observations of an antenna are first added up by place.
     """
     rows = observations.groupBy("antenna", "mast_x", "mast_y", "x", "y").agg(F.sum("weight").alias("weight"))

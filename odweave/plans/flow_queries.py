@@ -367,9 +367,9 @@ def calibrate_lad(t):
     return rounded(calibrate.calibrated(_xy(t), "x", "y", "lad"), 3)
 
 
-@query("calibrate_loglad")
+@query("calibrate_loglad", "u", f"{_XY}, {_lad_sql(300, 'log10(x)', 'log10(y)', 'WHERE x > 0.1 AND y > 0.1', True)} SELECT id, x, y, round(CASE WHEN x <= 0.1 THEN x::DOUBLE ELSE pow(10, i + s * log10(x)) END, 2) AS calibrated FROM xy, m")
 def calibrate_loglad(t):
-    return calibrate.calibrated(_xy(t), "x", "y", "loglad")
+    return rounded(calibrate.calibrated(_xy(t), "x", "y", "loglad"), 2)
 
 
 @query("calibrate_rels_all", "z truth", _factors_sql(60) + """, vs AS (SELECT from_id, sum(strength) AS v FROM z GROUP BY 1), cs AS (SELECT from_id, sum(strength) AS c FROM truth GROUP BY 1),

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odweave.plans import flow_queries, space_queries, system_queries
+from odweave.plans import basic_queries, flow_queries, space_queries, system_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return flow_queries.QUERIES | system_queries.QUERIES | space_queries.QUERIES
+    return basic_queries.QUERIES | flow_queries.QUERIES | system_queries.QUERIES | space_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return flow_queries.SQL | system_queries.SQL | space_queries.SQL
+    return basic_queries.SQL | flow_queries.SQL | system_queries.SQL | space_queries.SQL

@@ -98,10 +98,11 @@ def circular_mean(t):
  g AS (SELECT user_id, site_id, floor(s) AS s, sum(weight) AS w FROM w GROUP BY 1, 2, 3),
  pr AS (SELECT user_id, site_id, b AS bin, sum(w * exp(1 / pow(1800.0 * 2 * pi() / 86400, 2) * (cos((s - (b + 0.5) * 1800) * 2 * pi() / 86400) - 1))) AS d FROM g, range(48) r(b) GROUP BY 1, 2, 3),
  n AS (SELECT user_id, site_id, sum(d * cos((bin + 0.5) * 2 * pi() / 48)) / nullif(sum(d), 0) AS night_index FROM pr GROUP BY 1, 2)
- SELECT user_id, site_id, observations, round(weight, 4) AS weight, round(timespan, 4) AS timespan, round(m - floor(m / 86400) * 86400, 4) AS mean_second, round(night_index, 4) AS night_index, night_index > 0 AS is_home FROM b JOIN n USING (user_id, site_id)""")
+ SELECT user_id, site_id, observations, round(weight, 2) AS weight, round(timespan, 6) AS timespan, round(m - floor(m / 86400) * 86400, 3) AS mean_second, round(night_index, 5) AS night_index, night_index > 0 AS is_home FROM b JOIN n USING (user_id, site_id)""")
 def detect_anchors(t):
     site = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
-    return rounded(windows.detect_anchors(t.raw("events").withColumn("site_id", site), "user_id", "site_id", "ts"), 4)
+    found = windows.detect_anchors(t.raw("events").withColumn("site_id", site), "user_id", "site_id", "ts")
+    return found.withColumns({c: F.round(c, n) for c, n in (("weight", 2), ("mean_second", 3), ("night_index", 5))})
 
 
 @query("trajectory_grid", "", """WITH o AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value AS x, (event_id % 100)::DOUBLE AS y FROM events),
@@ -334,7 +335,7 @@ def antenna_adjusted(t):
     return antenna.adjusted(seen, lambda a: antenna.strengths(t.places, a), _antennas(t), rounds=2)
 
 
-for _m in ("em", "genetic"):
+for _m in ("climb", "genetic"):
 
     def _fit(t, m=_m):
         seen = antenna.connections(antenna.strengths(t.places, _antennas(t)), 0.5)
