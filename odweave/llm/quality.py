@@ -9,7 +9,10 @@ bins: vectorised lookups and additions.
 The model is fitted in one task on a bounded sample of labelled rows (``TRAINING_ROWS``, a row of numbers each).
 
 Defined cases: NULL and empty texts have all features 0 and are scored like any other; without labelled rows of both
-classes the score is the share of good labels, or 0.5 without any; only id and text are read.
+classes the score is the share of good labels, or 0.5 without any; texts of any length are measured whole; equal texts
+score alike, so repeated rows repeat their score, and rows that repeat an id are scored by their own text; a repeated
+label counts once, 1 before 0; among training texts of one id the order of their features decides, so rows in any order
+give one model; a score of exactly the threshold is predicted 1; only id, text and the label are read, under any names.
 """
 
 from __future__ import annotations
@@ -173,7 +176,7 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAINING_ROWS) -> dict:
+def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """Train on a bounded sample of labelled rows outside the held-out fold."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +186,11 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), own], ["id", "y", "x"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        x = np.array(table.column("x").to_pylist())
-        return pa.table({"model": [json.dumps(train(x, table.column("y").to_numpy()))]})
+        own = sorted(zip(table.column("id").to_pylist(), table.column("x").to_pylist(), table.column("y").to_pylist(), strict=True))
+        return pa.table({"model": [json.dumps(train(np.array([x for _, x, _ in own]), np.array([y for *_, y in own])))]})
 
     small_batches(documents)
-    sample = labelled.training_texts(documents, labels, "quality", folds, fold, rows)
+    sample = labelled.training_texts(documents, labels, label_col, folds, fold, rows, id_col, text_col)
     sample = sample.mapInArrow(measure, "id string, y double, x array<double>").withColumn("all", F.lit(1))
     found = sample.groupBy("all").applyInArrow(learn, "model string").first()
     return json.loads(found["model"]) if found else train(np.zeros((0, len(NAMES))), np.zeros(0))
@@ -205,12 +207,15 @@ def score_column(model: dict):
     return F.arrow_udf(kernel, "double")
 
 
-def quality(documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document."""
-    rows = documents.select("doc_id", score_column(fit(documents, labels, folds, fold))(F.col("text")).alias("score"))
+def quality(
+    documents: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> DataFrame:
+    """``(id, held_out, score, predicted)`` of every document."""
+    model = fit(documents, labels, folds, fold, id_col=id_col, text_col=text_col, label_col=label_col)
+    rows = documents.select(F.col(f"`{id_col}`").alias("id"), score_column(model)(F.col(f"`{text_col}`")).alias("score"))
     return rows.select(
-        "doc_id",
-        labelled.held_out(F.col("doc_id"), folds, fold).alias("held_out"),
+        F.col("id").alias(id_col),
+        labelled.held_out(F.col("id"), folds, fold).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

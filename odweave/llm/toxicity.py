@@ -6,7 +6,10 @@ of labelled rows (``TRAINING_ROWS``) with per-coordinate learning rates; the L1
 broadcast (at most ``1 << BITS`` of them, 12 bytes each) and looked up for every whole text.
 
 Defined cases: NULL and empty texts have no feature and score by the intercept alone; without labelled rows of
-both classes the score is the share of toxic labels, or 0 without any; columns other than id and text are not read.
+both classes the score is the share of toxic labels, or 0 without any; texts of any length are read whole; equal texts
+score alike, so repeated rows repeat their score, and rows that repeat an id are scored by their own text; a repeated
+label counts once, 1 before 0; examples are learnt in the order of a hash of their id, those of one id in the order of
+their features; a score of exactly the threshold is predicted 1; only id, text and the label are read, under any names.
 """
 
 from __future__ import annotations
@@ -90,7 +93,9 @@ def _distinct(texts: pa.Array) -> list[np.ndarray]:
     return [key[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, rows: int = TRAINING_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(
+    documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> tuple[float, np.ndarray, np.ndarray]:
     """Intercept, features and weights from a bounded sample of labelled rows outside the held-out fold."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +105,8 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(1), pa.array(own, pa.binary())], ["id", "y", "own"])
 
     def train(table: pa.Table) -> pa.Table:
-        order = np.argsort([hash_of(i) for i in table.column("id").to_pylist()], kind="stable")
         own = table.column("own").to_pylist()
+        order = sorted(range(len(own)), key=lambda i, ids=table.column("id").to_pylist(): (hash_of(ids[i]), own[i]))
         y = table.column("y").to_numpy()[order]
         if len(np.unique(y)) < 2:
             share = np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6)
@@ -111,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1,
         return pa.table({"bias": [bias], "at": pa.array([at], pa.list_(pa.int64())), "w": pa.array([w], pa.list_(pa.float64()))})
 
     small_batches(documents)
-    sample = labelled.training_texts(documents, labels, "toxic", folds, fold, rows)
+    sample = labelled.training_texts(documents, labels, label_col, folds, fold, rows, id_col, text_col)
     sample = sample.mapInArrow(sparse, "id string, y double, own binary").withColumn("all", F.lit(1))
     model = sample.groupBy("all").applyInArrow(train, "bias double, at array<long>, w array<double>").first()
     if model is None:
@@ -126,7 +131,7 @@ def hash_of(text: str) -> int:
 def scored(documents: DataFrame, model: tuple[float, np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every row from its whole text."""
     score = score_column(model)
-    return documents.select(F.col(id_col), score(F.col(text_col)).alias("score"))
+    return documents.select(F.col(f"`{id_col}`").alias("id"), score(F.col(f"`{text_col}`")).alias("score"))
 
 
 def score_column(model: tuple[float, np.ndarray, np.ndarray]):
@@ -148,18 +153,20 @@ def score_column(model: tuple[float, np.ndarray, np.ndarray]):
     return F.arrow_udf(kernel, "double")
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of every document."""
-    rows = scored(documents, fit(documents, labels, folds, fold))
+def toxicity(
+    documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """``(id, held_out, score, predicted)`` of every document."""
+    rows = scored(documents, fit(documents, labels, folds, fold, id_col=id_col, text_col=text_col, label_col=label_col), id_col, text_col)
     return rows.select(
-        "doc_id",
-        labelled.held_out(F.col("doc_id"), folds, fold).alias("held_out"),
+        F.col("id").alias(id_col),
+        labelled.held_out(F.col("id"), folds, fold).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
-def clean_rows(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def clean_rows(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that score below the threshold, with all their columns."""
-    score = score_column(fit(documents, labels))
+    score = score_column(fit(documents, labels, id_col=id_col, text_col=text_col))
     return documents.where(score(F.col(f"`{text_col}`")) < threshold)
