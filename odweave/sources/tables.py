@@ -62,12 +62,53 @@ def wkt_points(df: DataFrame, wkt: str, drop: bool = True) -> DataFrame:
 
 
 def read_geo(spark: SparkSession, path: str, schema: str | None = None, x: str = "X", y: str = "Y") -> DataFrame:
-    """A table with a WKT column, or else with point coordinates. Binary GIS formats are not read (no driver)."""
+    """By the path's ending a GeoJSON file (``.geojson``, ``.json``); else a table with a WKT column, or else with point
+    coordinates. ``schema`` is that of the columns or, for GeoJSON, of the properties."""
+    if path.lower().endswith((".geojson", ".json")):
+        return read_geojson(spark, path, schema)
     df = read_csv(spark, path, schema)
     name = wkt_column(df)
     return wkt_points(df, name) if name else points(df, x, y)
 
 
+def read_geojson(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The features of GeoJSON files: a feature collection each, or one feature a line.
+
+    Columns are the properties (all of them as text without a schema), ``geometry`` (a point struct, NULL for others) and
+    ``ring``: the coordinates of a point, a line, or the outer ring of a polygon; of a multi-part geometry the first part.
+    """
+    whole = spark.read.text(path, wholetext=True).where("value LIKE '%FeatureCollection%'")
+    kind = f"struct<properties:{f'struct<{schema}>' if schema else 'map<string,string>'},geometry:struct<type:string,coordinates:string>>"
+    collections = whole.select(F.explode(F.from_json("value", f"struct<features:array<{kind}>>")["features"]).alias("f"))
+    lines = spark.read.text(path).select(F.from_json("value", "struct<type:string," + kind[7:]).alias("f")).where("f.type = 'Feature'")
+    rows = collections.unionByName(lines.select(F.struct("f.properties", "f.geometry").alias("f")))
+    flat, one, two, three = (f"array<{'array<' * n}double{'>' * n}>" for n in range(4))
+    raw = F.col("f.geometry.coordinates")
+    parts = {"Point": F.array(F.from_json(raw, flat)), "LineString": F.from_json(raw, one), "MultiPoint": F.from_json(raw, one), "Polygon": F.get(F.from_json(raw, two), F.lit(0))}
+    parts |= {"MultiLineString": F.get(F.from_json(raw, two), F.lit(0)), "MultiPolygon": F.get(F.get(F.from_json(raw, three), F.lit(0)), F.lit(0))}
+    ring = F.coalesce(*[F.when(F.col("f.geometry.type") == name, c) for name, c in parts.items()])
+    ring = F.transform(ring, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
+    rows = rows.withColumn("ring", ring).withColumn("geometry", F.when(F.col("f.geometry.type") == "Point", F.get("ring", F.lit(0))))
+    if schema:
+        return rows.select("f.properties.*", "geometry", "ring")
+    names = sorted(r[0] for r in rows.select(F.explode(F.map_keys("f.properties"))).distinct().collect())  # column names
+    return rows.select(*[F.try_element_at("f.properties", F.lit(n)).alias(n) for n in names], "geometry", "ring")
+
+
+def write_geojson(df: DataFrame, path: str, ring: str | None = None, kind: str = "Polygon") -> None:
+    """One feature a line: points from ``geometry``, or the coordinates in ``ring`` as a geometry of that kind (``Polygon``
+    or ``LineString``); the other columns are its properties."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("geometry", "ring")]
+    pair = lambda p: F.array(p["x"], p["y"])
+    if ring:
+        path_of = F.transform(F.col(ring), pair)
+        shape = F.struct(F.lit(kind).alias("type"), (F.array(path_of) if kind == "Polygon" else path_of).alias("coordinates"))
+    else:
+        shape = F.when(F.col("geometry").isNotNull(), F.struct(F.lit("Point").alias("type"), pair(F.col("geometry")).alias("coordinates")))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*others).alias("properties"), shape.alias("geometry"))
+    df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_nonspatial(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     df = read_csv(spark, path, schema)
     return df.drop(*[c for c in df.columns if c.lower() in WKT_NAMES])

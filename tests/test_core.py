@@ -93,6 +93,22 @@ def test_files_round_trip(spark, tmp_path):
     assert tables.read_csv_folder(spark, str(tmp_path / "b")).select("table_name").distinct().count() >= 1
 
 
+def test_geojson_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 14.5, 50.1), (2, None, None, 49.0)], "id int, name string, X double, Y double")
+    tables.write_geojson(tables.points(df, drop=True), str(tmp_path / "p.geojson"))
+    got = {r.id: (r.name, r.geometry) for r in tables.read_geo(spark, str(tmp_path / "p.geojson"), "id int, name string").collect()}
+    assert got[1][0] == "a" and (got[1][1].x, got[1][1].y) == (14.5, 50.1) and got[2] == (None, None)
+    rings = spark.createDataFrame([(7, [(0.0, 0.0), (1.0, 0.0), (0.0, 2.5), (0.0, 0.0)])], "id int, ring array<struct<x:double,y:double>>")
+    for kind in ("Polygon", "LineString"):
+        tables.write_geojson(rings, str(tmp_path / "r.geojson"), "ring", kind)
+        row = tables.read_geojson(spark, str(tmp_path / "r.geojson")).first()
+        assert row.id == "7" and row.geometry is None and [tuple(p) for p in row.ring] == [(0.0, 0.0), (1.0, 0.0), (0.0, 2.5), (0.0, 0.0)]
+    file = tmp_path / "c.geojson"
+    file.write_text('{"type": "FeatureCollection",\n "features": [{"type": "Feature", "properties": {"id": 3},\n "geometry": {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]}}]}')
+    row = tables.read_geo(spark, str(file), "id int").first()
+    assert row.id == 3 and [tuple(p) for p in row.ring] == [(0, 0), (1, 0), (1, 1), (0, 0)]
+
+
 def test_raster_files(spark, tmp_path):
     np.save(tmp_path / "r.npy", np.arange(6).reshape(2, 3))
     got = sorted((r.row, r.col, r.value) for r in raster.read_raster(spark, str(tmp_path / "r.npy")).collect())
