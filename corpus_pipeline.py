@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from odweave.llm import decontaminate, exact_dedup, minhash, mixing, toxicity
-from odweave.operators.iterate import shared_table
+from odweave.operators.iterate import drop_shared, shared_table
 
 #: SQL can't express the trained classifier of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -55,8 +55,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over the documents table; what a stage has read is deleted once its own rows are written."""
+    docs, held = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            drop_shared(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
