@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from odweave.llm import decontaminate, toxicity
-from tests.llm.test_decontaminate import least_distance
 from tests.llm.test_exact_dedup import fold
 from tests.llm.test_minhash import brute
 
@@ -54,13 +53,15 @@ def test_near_dedup(stages):
 
 
 def test_decontamination(spark, stages):
+    """Bit vectors of every item over whole texts, without pieces."""
     before, after = map(rows, stages[3])
     items = [decontaminate.folded(r.text).strip() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     gone = set(before) - set(after)
     assert set(after) <= set(before)
-    for i in sorted(before)[:25] + sorted(gone):
-        text = decontaminate.folded(before[i] or "")[:4000] if i not in gone else decontaminate.folded(before[i])
-        leaks = any(least_distance(item, text) <= int(decontaminate.RATE * len(item)) for item in items[: 10 if i not in gone else None])
+    short = [i for i in sorted(before) if len(before[i] or "") <= 3000][:30]
+    for i in short + sorted(gone):
+        text = decontaminate.folded(before[i] or "")
+        leaks = any(min(decontaminate.Myers(item).distances(text), default=len(item)) <= int(decontaminate.RATE * len(item)) for item in items)
         assert leaks == (i in gone)
 
 
