@@ -39,6 +39,8 @@ SUPPORT = 4
 #: Characters that any could be, for the order below none.
 CHARACTERS = 1 << 16
 BROADCAST_ROWS = 1_000_000
+#: Pairs of context and character that one task scores.
+TASK_PAIRS = 1_000_000
 #: Stands before a url's first character.
 _START = "\x02"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,7 +111,9 @@ def log_ratios(labelled: DataFrame, order: int, support: int = SUPPORT) -> tuple
 def scored(urls: DataFrame, tables: tuple[DataFrame, DataFrame], order: int) -> DataFrame:
     """``(url, score)`` of each distinct url: its log-likelihood difference per character, rounded to 9 digits."""
     numbered = shared_table(urls.where("url <> ''").select("url").distinct().withColumn("n", F.monotonically_increasing_id()), "urls")
-    pairs = numbered.select("n", F.explode(_grams(F.col("url"), order)).alias("g")).select("n", _key("g.ctx", "g.sym").alias("key"), _key("g.ctx").alias("at"))
+    size = numbered.agg(F.sum(F.char_length("url"))).first()[0] or 0  # few bytes of urls make many pairs, so they are dealt out
+    dealt = numbered.repartition(max(1, -(-size * (order + 1) // TASK_PAIRS)), "n")
+    pairs = dealt.select("n", F.explode(_grams(F.col("url"), order)).alias("g")).select("n", _key("g.ctx", "g.sym").alias("key"), _key("g.ctx").alias("at"))
     adds, leaves = (shared_table(t, "model") for t in tables)
     if adds.count() <= BROADCAST_ROWS:
         adds, leaves = F.broadcast(adds), F.broadcast(leaves)
