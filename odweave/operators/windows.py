@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,11 +118,33 @@ def day_profile(df: DataFrame, keys: list[str], ts: str, weight: str, bins: int
     return sums.select(*keys, "bin", ratio("d", F.sum("d").over(Window.partitionBy(*keys))).alias("density"))
 
 
+def _libm(function: Callable[..., float]) -> Callable[..., Column]:
+    """A function of the C library, whose last bits differ from the JVM's: a mean that lies on a rounding limit (that of one
+    time, or of two) falls on the same side of it as in SQL engines that use that library."""
+
+    def kernel(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([None if None in row else function(*row) for row in rows], pa.float64())
+
+    return F.arrow_udf(kernel, "double")
+
+
+def _on_circle(df: DataFrame, ts: str) -> DataFrame:
+    """Adds ``_sin`` and ``_cos`` of the time of day."""
+    a = day_seconds(ts) * 2 * math.pi / DAY
+    return df.withColumns({"_sin": _libm(math.sin)(a), "_cos": _libm(math.cos)(a)})
+
+
+def _mean_second(sums: DataFrame) -> DataFrame:
+    """``mean_second`` in place of the sums ``_sin`` and ``_cos``, step by step as in SQL; a mean that is less than zero by
+    a rounding error is a whole day."""
+    mean = _libm(math.atan2)("_sin", "_cos") * DAY / (2 * math.pi)
+    return sums.withColumn("_mean", mean).withColumn("mean_second", F.col("_mean") - F.floor(F.col("_mean") / DAY) * DAY).drop("_sin", "_cos", "_mean")
+
+
 def circular_mean(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """``keys, mean_second``: the mean time of day on the circle."""
-    a = day_seconds(ts) * (2 * math.pi / DAY)
-    mean = F.pmod(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a))) * (DAY / (2 * math.pi)), F.lit(DAY))
-    return df.groupBy(*keys).agg(mean.alias("mean_second"))
+    return _mean_second(_on_circle(df, ts).groupBy(*keys).agg(F.sum("_sin").alias("_sin"), F.sum("_cos").alias("_cos")))
 
 
 def night_index(profile: DataFrame, keys: list[str], bins: int = 48) -> DataFrame:
@@ -133,10 +157,12 @@ def detect_anchors(df: DataFrame, user: str, cell: str, ts: str, resolution: flo
     """Anchor statistics of each user and cell: observations, time weight, span, mean time of day, night index, and
     whether it looks like a home."""
     keys = [user, cell]
-    weighted = time_weights(df, [user], ts, resolution)
-    base = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum("weight").alias("weight"), ((micros(F.max(ts)) - micros(F.min(ts))) / 1e6).alias("timespan"))
+    weighted = time_weights(_on_circle(df, ts), [user], ts, resolution)
+    span = ((micros(F.max(ts)) - micros(F.min(ts))) / 1e6).alias("timespan")
+    # The window leaves a user's rows in order of time in one partition, so that is the order of the sums.
+    base = weighted.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.sum("weight").alias("weight"), span, F.sum("_sin").alias("_sin"), F.sum("_cos").alias("_cos"))
     night = night_index(day_profile(weighted, keys, ts, "weight"), keys)
-    return base.join(circular_mean(df, keys, ts), keys).join(night, keys).withColumn("is_home", F.col("night_index") > 0)
+    return _mean_second(base).join(night, keys).withColumn("is_home", F.col("night_index") > 0)
 
 
 def trajectory(df: DataFrame, keys: list[str], ts: str, x: str, y: str, step: int = 60, sigma: float = 300.0) -> DataFrame:

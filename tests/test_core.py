@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from odweave.operators import calibrate, iterate, raster, spatial, windows
+from odweave.plans import registry
 from odweave.sources import tables
+from tests.oracle import compare, connect
 
 
 @pytest.mark.parametrize("few", [iterate.BROADCAST_ROWS, 0])
@@ -122,3 +124,17 @@ def test_ranks_over_partitions(spark):
     values = [rng.random() for _ in range(500)]
     got = {r.v: r["rank"] for r in windows.global_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", parts=7).collect()}
     assert got == {v: i + 1 for i, v in enumerate(sorted(values, reverse=True))}
+
+
+def test_mean_times_on_rounding_limits(spark, tmp_path):
+    """Single times and pairs whose mean has exactly half a millisecond round as in the SQL; user 420 of sf0.1 has one."""
+    times, second = [], 1_000_000
+    for i in range(6_000):
+        at = i * 14 * second + (2 * (i % 8) + 1) * 62_500  # odd sixteenths of a second
+        far = (1 + i * 7 % 14_000) * second
+        times += [(i, 0, at), (i, 1, at - min(far, at)), (i, 1, at + min(far, at))]
+    rows = [(k, us, user, f'{{"k": {site}}}') for k, (user, site, us) in enumerate(times)]
+    df = spark.createDataFrame(rows, "event_id long, us long, user_id long, props string")
+    path = tmp_path / "events.parquet"
+    df.select("event_id", F.timestamp_micros(F.col("us") + 19_700 * 86_400 * second).cast("timestamp_ntz").alias("ts"), "user_id", "props").write.parquet(str(path))
+    compare(registry.queries()["detect_anchors"](spark, str(tmp_path)), connect(tmp_path), registry.oracle_sql()["detect_anchors"])
