@@ -17,8 +17,14 @@
    of unequal words. Passages of at least ``min_words`` words and ``identity`` remain, but for those that lie within
    another one of the same document.
 
-A passage is reported at every place but its first, which keeps it. Matches are bounded by a document's length, so no
-list grows with the corpus. Words are compared by 32 bits of their hashes.
+6. What the first places leave open: a passage whose seeds were first seen in several texts. Seeds that are not wholly in
+   a passage so far meet every earlier place, not the first alone, where a second seed is shared that a chain of the least
+   span reaches from it: the key is the pair of seeds, so a frequent phrase alone makes no match. Steps 4 and 5 follow once
+   more, for all texts that share a pair. Where a phrase follows itself over and over, it counts every ``STRIDE`` words.
+
+A passage is reported at every place but its first, which keeps it. In the first round matches are bounded by a
+document's length; in the second by the places of a pair of seeds that are still open, times all its places. Words are
+compared by 32 bits of their hashes.
 
 Defined cases: NULL and short texts have no passage; rows with a NULL id take no part; rows that repeat id and text are
 one document, rows that repeat an id with another text are documents of their own with the same id; a text that repeats
@@ -46,6 +52,12 @@ MIN_WORDS, IDENTITY = 50, 0.8
 GAP_COST = 0.2
 #: Words on both sides of a chain that its alignment may extend over.
 PAD = 50
+#: Words that the starts of two seeds of a pair may be further apart than they must be.
+REACH = 40
+#: Cost of a word of gap between pairs: two seeds pay for any gap that a pair has.
+PAIR_GAP_COST = 0.04
+#: Equal seeds of one text that are nearer than this count once in pairs; shorter than the gap that a chain bridges.
+STRIDE = 8
 #: Bits of the bitmap of repeated seeds: 8 MB whatever the input.
 BITMAP_BITS = 1 << 26
 BROADCAST_ROWS = 400_000
@@ -172,14 +184,10 @@ def _seeds(texts: DataFrame, bitmap, id_type: str, min_words: int) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
 
-        def there(h: np.ndarray) -> np.ndarray:
-            bit = (h % np.uint64(BITMAP_BITS)).astype(np.int64)
-            return (bits[bit >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
-
         for keys, offsets, hashes in _pieces(batches):
             row, pos, h = _seed_rows(offsets, hashes)
             row2, pos2, h2, _, anchor = _passage_rows(offsets, hashes, min_words)
-            one, two = there(h), there(anchor)
+            one, two = _there(bits, h), _there(bits, anchor)
             row, pos, h = (np.concatenate((x[one], y[two])) for x, y in ((row, row2), (pos, pos2), (h, h2)))
             n = np.repeat([K, min_words], [np.count_nonzero(one), np.count_nonzero(two)])
             order = np.lexsort((pos, h, row))
@@ -192,6 +200,107 @@ def _seeds(texts: DataFrame, bitmap, id_type: str, min_words: int) -> DataFrame:
     return texts.select("id", "t", "w").mapInArrow(kernel, f"h long, id {id_type}, t int, pos int, n int, again boolean")
 
 
+def _there(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the hashes' bits are set."""
+    bit = (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+    return (bits[bit >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _thinned(row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the seeds, in order of row and position, count: one in ``STRIDE`` words where equal seeds of a text follow
+    each other closely; and whether each of them begins such a stretch."""
+    order = np.lexsort((pos, h, row))
+    r, x, v = row[order], pos[order], h[order]
+    new = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (x[1:] - x[:-1] >= STRIDE))[: len(x)]
+    step = (x - x[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]) // STRIDE
+    stay = new | np.append(True, step[1:] != step[:-1])[: len(x)]
+    place = np.argsort(order[stay])
+    return order[stay][place], new[stay][place]
+
+
+def _places(h: np.ndarray, t: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Hashes of seeds' places."""
+    return mix64(h + mix64((t.astype(np.int64).view(np.uint64) << np.uint64(32)) + pos.astype(np.uint64)))
+
+
+def _later_places(seeds: DataFrame, several: DataFrame) -> DataFrame:
+    """``fp`` of the places of short seeds that are not their first."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, t, pos = (batch.column(k).to_numpy() for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(_places(h.view(np.uint64), t, pos).view(np.int64))], ["fp"])
+
+    later = seeds.where(f"n = {K}").join(several.select("h", "src", "st", "y"), "h").where("id <> src OR t <> st OR pos <> y")
+    return later.select("h", "t", "pos").mapInArrow(kernel, "fp long")
+
+
+def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None) -> DataFrame:
+    """``(k, id, t, x, d, open)`` of the pairs of repeated seeds that a chain could span, ``d`` words from start to start, of
+    texts with their passages so far (``spans``). A pair is ``open`` where a word of either seed is in no passage and both
+    have an earlier place. Without ``keys`` only the open ones' hashes, as ``fp``; else the pairs whose bit is set there.
+    ``maps`` are bitmaps of repeated seeds and of later places."""
+    near, far = max(K, _least(min_words) - K), max(K, _least(min_words) - K) + REACH
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (bits, later), wanted = maps.value, None if keys is None else keys.value
+        for columns, offsets, hashes in _pieces(batches):
+            row, pos, h = _seed_rows(offsets, hashes)
+            there = _there(bits, h)
+            row, pos, h = row[there], pos[there], h[there]
+            kept, start = _thinned(row, pos, h)
+            row, pos, h = row[kept], pos[kept], h[kept]
+            # Words in passages, from their starts and ends; then the words in none before each place.
+            turns, spans = np.zeros(offsets[-1] + 1, np.int64), columns[2]
+            lengths = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            ends = spans.flatten()
+            shift = np.repeat(offsets[:-1], lengths)
+            for k, by in ((0, 1), (1, -1)):
+                np.add.at(turns, shift + pc.struct_field(ends, k).to_numpy(zero_copy_only=False), by)
+            free = np.concatenate(([0], np.cumsum(np.cumsum(turns)[:-1] == 0)))
+            at = offsets[row] + pos
+            uncovered = free[at + K] > free[at]
+            again = _there(later, _places(h, columns[1].to_numpy()[row], pos))
+            parts = []
+            for step in range(1, far + 1):
+                one, two = np.arange(max(len(row) - step, 0)), np.arange(step, max(len(row), step))
+                gap = np.where(row[one] == row[two], pos[two] - pos[one], far + 1)
+                if not (gap <= far).any():
+                    break
+                pair = (gap >= near) & (gap <= far) & ((h[one] != h[two]) | start[one])
+                one, two = one[pair], two[pair]
+                open_ = (uncovered[one] | uncovered[two]) & again[one] & again[two]
+                key = mix64(h[one] + mix64(h[two] + np.uint64(1)))
+                hit = open_ if wanted is None else _there(wanted, key)
+                parts.append((key[hit], one[hit], two[hit], open_[hit]))
+            if not parts:
+                continue
+            key, one, two, open_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if wanted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).view(np.int64))], ["fp"])
+                continue
+            own = pa.array(row[one])
+            numbers = [pa.array(pos[one], pa.int32()), pa.array(pos[two] - pos[one], pa.int32()), pa.array(open_)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), columns[0].take(own), columns[1].take(own), *numbers], ["k", "id", "t", "x", "d", "open"])
+
+    out = "fp long" if keys is None else f"k long, id {id_type}, t int, x int, d int, open boolean"
+    return texts.select("id", "t", "spans", "w").mapInArrow(kernel, out)
+
+
+def _open_matches(texts: DataFrame, found: DataFrame, maps, id_type: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Matches of open places with all earlier places, by pairs of seeds, and the tables that they are read from."""
+    spans = found.groupBy("id", "t").agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))  # bounded by a text's length
+    spans = shared_table(spans, "spans")
+    side = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans
+    texts = texts.join(side, ["id", "t"], "left")
+    keys = texts.sparkSession.sparkContext.broadcast(_bitmap(_seed_pairs(texts, maps, id_type, min_words)))
+    pairs = shared_table(_seed_pairs(texts, maps, id_type, min_words, keys), "pairs")
+    # Both sides are read from a table, so that AQE can split the partition of a frequent pair.
+    earlier = pairs.select("k", F.col("id").alias("src"), F.col("t").alias("st"), F.col("x").alias("y"), F.col("d").alias("e"))
+    met = pairs.where("open").join(earlier, "k").where("src < id OR src = id AND (st < t OR st = t AND y < x AND y + e < x + d)")
+    return met.select("id", "t", "src", "st", "x", "y", F.lit(K).alias("n"), "d", "e"), [spans, pairs]
+
+
 def _needed(spans: np.ndarray) -> np.ndarray:
     """Which spans stay, as few as cover the same words.
 
@@ -253,10 +362,10 @@ class _PrefixMax:
         return found
 
 
-def chains_of(runs: np.ndarray, least: int) -> list[list[int]]:
+def chains_of(runs: np.ndarray, least: int, gap_cost: float = GAP_COST) -> list[list[int]]:
     """Collinear chains of runs that span ``least`` words, best first; each run is in one chain at most.
 
-    The score of a chain is the words its runs cover less ``GAP_COST`` for every word of gap in either text, which
+    The score of a chain is the words its runs cover less ``gap_cost`` for every word of gap in either text, which
     splits into a part of the predecessor and one of the successor, so a prefix maximum finds the best predecessor.
     """
     rows = runs.tolist()
@@ -266,9 +375,9 @@ def chains_of(runs: np.ndarray, least: int) -> list[list[int]]:
     for i, (x0, x1, y0, y1) in enumerate(rows):
         while waiting and waiting[0][0] <= x0:  # runs that end before this one begins
             _, j = waiting.pop(0)
-            tree.put(rank[rows[j][3]], (score[j] + GAP_COST * (rows[j][1] + rows[j][3]), j))
+            tree.put(rank[rows[j][3]], (score[j] + gap_cost * (rows[j][1] + rows[j][3]), j))
         value, j = tree.best(bisect_right(ends, y0))
-        gain = value - GAP_COST * (x0 + y0)
+        gain = value - gap_cost * (x0 + y0)
         score[i] = x1 - x0 + max(0.0, gain)
         before[i] = j if gain > 0 else -1
         insort(waiting, (x1, i))
@@ -360,29 +469,33 @@ def aligned(a: np.ndarray, b: np.ndarray, runs: list[list[int]], min_words: int,
     return out
 
 
-def _chained(matches: DataFrame, id_type: str, least: int) -> DataFrame:
-    """Chains of matches ``(id, t, src, st, x, y, n)`` that are sorted by both texts: their extent in both, and their runs
-    as four numbers each. Groups pass one after another, so a task holds the matches of one pair of texts."""
+def _chained(matches: DataFrame, id_type: str, least: int, gap_cost: float) -> DataFrame:
+    """Chains of matches ``(id, t, src, st, x, y, n, d, e)`` that are sorted by both texts: their extent in both, and their
+    runs as four numbers each. With ``d`` a row is two matches, the second one ``d`` and ``e`` words later. Groups pass one after another, so a task holds the matches of one pair of texts."""
     names = ["id", "t", "src", "st", "x0", "x1", "y0", "y1", "runs"]
 
-    def chains(keys: list[pa.Array], x: np.ndarray, y: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def chains(keys: list[pa.Array], x: np.ndarray, y: np.ndarray, n: np.ndarray, d: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        both = d > 0
+        if both.any():  # many pairs have a seed in common
+            x, y, n = (np.concatenate((v, w[both])) for v, w in ((x, x + d), (y, y + e), (n, n)))
+            x, y, n = np.unique(np.column_stack((x, y, n)), axis=0).T
         runs = runs_of(x, y, n)
-        found = [runs[chain] for chain in chains_of(runs, least)]
+        found = [runs[chain] for chain in chains_of(runs, least, gap_cost)]
         if found:
             sides = [pa.array([own[i, k] for own in found], pa.int32()) for i, k in ((0, 0), (-1, 1), (0, 2), (-1, 3))]
             at = pa.array([0] * len(found))
             yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), *sides, pa.array([own.reshape(-1) for own in found], pa.list_(pa.int32()))], names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                x, y, n = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+                x, y, n, d, e = (np.concatenate([h[k] for h in held]) for k in range(1, 6))
                 keys = held[0][0]
                 held.clear()
-                if (x + n).max() - x.min() >= least:
-                    yield from chains(keys, x, y, n)
+                if (x + d + n).max() - x.min() >= least:
+                    yield from chains(keys, x, y, n, d, e)
 
         for batch in batches:
             rows = batch.num_rows
@@ -392,8 +505,8 @@ def _chained(matches: DataFrame, id_type: str, least: int) -> DataFrame:
             for k in range(4):
                 new |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
             cuts = np.concatenate(([0], np.flatnonzero(new) + 1))
-            x, y, n = (batch.column(k).to_numpy().astype(np.int64) for k in (4, 5, 6))
-            extent = np.maximum.reduceat(x + n, cuts) - np.minimum.reduceat(x, cuts)
+            x, y, n, d, e = (batch.column(k).to_numpy().astype(np.int64) for k in range(4, 9))
+            extent = np.maximum.reduceat(x + d + n, cuts) - np.minimum.reduceat(x, cuts)
             stops = np.append(cuts[1:], rows)
             out = []
             if held and any(held[0][0][k][0] != batch.column(k)[0] for k in range(4)):
@@ -402,11 +515,11 @@ def _chained(matches: DataFrame, id_type: str, least: int) -> DataFrame:
                 start, stop = int(cuts[i]), int(stops[i])
                 keys = [batch.column(k).slice(start, 1) for k in range(4)]
                 if start == 0 and held or stop == rows:
-                    held.append((keys, x[start:stop], y[start:stop], n[start:stop]))
+                    held.append((keys, *(v[start:stop] for v in (x, y, n, d, e))))
                     if stop < rows:
                         out += flush()
                 elif extent[i] >= least:
-                    out += chains(keys, x[start:stop], y[start:stop], n[start:stop])
+                    out += chains(keys, *(v[start:stop] for v in (x, y, n, d, e)))
             if out:
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
         yield from flush()
@@ -434,6 +547,34 @@ def _aligned(sides: DataFrame, id_type: str, min_words: int, identity: float) ->
     return sides.mapInArrow(kernel, f"id {id_type}, t int, src {id_type}, x0 int, x1 int, y0 int, y1 int, edits int")
 
 
+def _least(min_words: int) -> int:
+    """Words that a chain spans at least."""
+    return max(K, min_words - 2 * (K + WINDOW))
+
+
+def _passages(texts: DataFrame, matches: DataFrame, id_type: str, min_words: int, identity: float, gap_cost: float = GAP_COST) -> DataFrame:
+    """``(id, t, src, x0, x1, y0, y1, edits)`` of the passages that matches make: chained, and aligned on the words."""
+    matches = matches.repartition("id", "t", "src", "st").sortWithinPartitions("id", "t", "src", "st")
+    chains = shared_table(_chained(matches, id_type, _least(min_words), gap_cost), "chains")
+
+    needed = chains.select("id", "t").union(chains.select("src", "st")).distinct()
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    arrays = shared_table(texts.join(needed, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), "words")
+
+    def side_of(first: str, last: str) -> tuple:
+        start = F.greatest(F.col(first) - PAD, F.lit(0))
+        return start, F.expr(f"substring(w, 4 * greatest({first} - {PAD}, 0) + 1, 4 * ({last} + {PAD} - greatest({first} - {PAD}, 0)))")
+
+    ax, wa = side_of("x0", "x1")
+    rows = chains.join(arrays, ["id", "t"]).select("id", "t", "src", "st", "y0", "y1", "runs", ax.alias("ax"), wa.alias("wa"))
+    by, wb = side_of("y0", "y1")
+    rows = rows.join(arrays.select(F.col("id").alias("src"), F.col("t").alias("st"), "w"), ["src", "st"])
+    rows = rows.select("id", "t", "src", "runs", "ax", "wa", by.alias("by"), wb.alias("wb"))
+    found = shared_table(_aligned(rows, id_type, min_words, identity), "found")
+    drop_shared(chains, arrays)
+    return found
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """``(id, start_word, end_word, source_id, source_start, source_end, edits)`` of every repeated passage."""
     small_batches(df)
@@ -462,25 +603,15 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.when(~F.col("again"), F.col("id"))
     several = seeds.groupBy("h").agg(F.min("id").alias("src"), F.min_by(place, first).alias("place"), F.count(F.lit(1)).alias("rows"))
     several = shared_table(several.where("rows > 1").select("h", "src", F.shiftright("place", 32).cast("int").alias("st"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("y")), "several")
-    matches = seeds.join(several, "h").where("id <> src OR t <> st OR pos <> y").select("id", "t", "src", "st", F.col("pos").alias("x"), "y", "n")
-    matches = matches.repartition("id", "t", "src", "st").sortWithinPartitions("id", "t", "src", "st")
-    chains = shared_table(_chained(matches, id_type, max(K, min_words - 2 * (K + WINDOW))), "chains")
+    matches = seeds.join(several, "h").where("id <> src OR t <> st OR pos <> y").select("id", "t", "src", "st", F.col("pos").alias("x"), "y", "n", F.lit(0).alias("d"), F.lit(0).alias("e"))
+    found = _passages(texts, matches, id_type, min_words, identity)
+    maps = spark.sparkContext.broadcast((bitmap.value, _bitmap(_later_places(seeds, several))))
     drop_shared(seeds, several)
 
-    needed = chains.select("id", "t").union(chains.select("src", "st")).distinct()
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    arrays = shared_table(texts.join(needed, ["id", "t"], "left_semi").dropDuplicates(["id", "t"]), "words")
-
-    def side_of(first: str, last: str) -> tuple:
-        start = F.greatest(F.col(first) - PAD, F.lit(0))
-        return start, F.expr(f"substring(w, 4 * greatest({first} - {PAD}, 0) + 1, 4 * ({last} + {PAD} - greatest({first} - {PAD}, 0)))")
-
-    ax, wa = side_of("x0", "x1")
-    rows = chains.join(arrays, ["id", "t"]).select("id", "t", "src", "st", "y0", "y1", "runs", ax.alias("ax"), wa.alias("wa"))
-    by, wb = side_of("y0", "y1")
-    rows = rows.join(arrays.select(F.col("id").alias("src"), F.col("t").alias("st"), "w"), ["src", "st"])
-    rows = rows.select("id", "t", "src", "runs", "ax", "wa", by.alias("by"), wb.alias("wb"))
-    found = _aligned(rows, id_type, min_words, identity)
+    matches, read_from = _open_matches(texts, found, maps, id_type, min_words)
+    rest = _passages(texts, matches, id_type, min_words, identity, PAIR_GAP_COST)
+    drop_shared(*read_from)
+    found = found.unionByName(rest)
     # A text's passages are bounded by its length.
     before = Window.partitionBy("id", "t").orderBy("x0", F.desc("x1"), "edits", "src", "y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("reach", F.max("x1").over(before)).where("reach IS NULL OR x1 > reach")

@@ -204,3 +204,27 @@ def test_passage_stays_beside_a_run_that_is_only_partly_equal():
     x, y = np.array([0, 45, 55, 65, 45]), np.array([0, 45, 55, 65, 500])
     runs = chaining.runs_of(x, y, np.array([40, 5, 5, 5, 40])).tolist()
     assert sorted(runs) == [[0, 70, 0, 70], [45, 85, 500, 540]]
+
+
+def test_fuzzy_passage_whose_seeds_stand_in_several_earlier_texts(spark):
+    """Every piece of 12 words was first seen in a text of its own; the passages share no equal run of 50 words."""
+    gen = random.Random(11)
+    fresh = lambda n: [f"v{gen.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(96)
+    rows = [fresh(20) + passage[k : k + 12] + fresh(20) for k in range(0, 96, 12)]
+    for shift in (0, 5, 11):
+        own = list(passage)
+        own[14 + shift :: 24] = fresh(len(own[14 + shift :: 24]))
+        rows.append(fresh(30) + own + fresh(30))
+    got = chaining.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(9, 8), (10, 8)}
+    assert all(r.start_word <= 32 and r.end_word >= 124 and r.start_word == r.source_start for r in got)
+
+
+def test_stretches_of_one_phrase_count_every_few_words():
+    row = np.repeat([0, 1], [40, 3])
+    pos = np.concatenate((np.arange(40), [0, 3, 20]))
+    h = np.repeat(np.array([7, 7], np.uint64), [40, 3])
+    kept, start = chaining._thinned(row, pos, h)
+    assert list(zip(row[kept].tolist(), pos[kept].tolist(), strict=True)) == [(0, x) for x in range(0, 40, 8)] + [(1, 0), (1, 20)]
+    assert start.tolist() == [True, False, False, False, False, True, True]
