@@ -6,7 +6,7 @@
    smallest hash is a seed, so two texts that share ``K + WINDOW - 1`` words in a row share a seed. Besides, every run of
    ``min_words`` words that may occur again is one: the smallest hash of its shorter runs (its anchor, winnowed too)
    must be a repeated one. A counting quotient filter of seeds and anchors tells which hashes occur more than once; a
-   bitmap of them (of fixed size) drops most others before any row is shuffled.
+   bitmap of them (of bounded size) drops most others before any row is shuffled.
 3. The first place of a seed (smallest id, then position) is its source. Every other place, in the same document too, is
    matched with the source: as many matches as places, however common a passage is. As a seed of ``min_words`` words is
    a passage already, every repeated run of that length is found, whichever documents have its parts.
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odweave.llm.exact_dedup import ranges_for, repeated_fingerprints
-from odweave.llm.text import hashed_words, mix64, powers, shingles, slices, small_batches
+from odweave.llm.text import hashed_words, mix64, powers, shingles, slices, small_batches, trimmed
 from odweave.operators.iterate import drop_shared, shared_table
 
 K, WINDOW = 5, 5
@@ -58,11 +58,12 @@ REACH = 40
 PAIR_GAP_COST = 0.04
 #: Equal seeds of one text that are nearer than this count once in pairs; shorter than the gap that a chain bridges.
 STRIDE = 8
-#: Bits of the bitmap of repeated seeds: 8 MB whatever the input.
-BITMAP_BITS = 1 << 26
+#: Bits of a bitmap for each hash in it, rounded up to a power of two, but at least (8 MB) and at most (16 MB) so many. A
+#: full one lets more rows through, which find no partner later.
+HASH_BITS, LEAST_BITS, BITMAP_BITS = 32, 1 << 26, 1 << 27
 BROADCAST_ROWS = 400_000
 #: Words of one piece of the seed kernels.
-PIECE_WORDS = 1 << 18
+PIECE_WORDS = 1 << 17
 
 
 def grams(offsets: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +141,7 @@ def _hashed(read: DataFrame, id_type: str) -> DataFrame:
                 columns = [pa.array(tags), pa.array(np.diff(offsets), pa.int32()), pa.array(digests, pa.binary()), pa.array(own, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "t", "n", "digest", "w"])
 
-    return read.mapInArrow(kernel, f"id {id_type}, t int, n int, digest binary, w binary")
+    return read.mapInArrow(trimmed(kernel), f"id {id_type}, t int, n int, digest binary, w binary")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
@@ -164,15 +165,16 @@ def _seed_hashes(texts: DataFrame, min_words: int) -> DataFrame:
             fp = np.concatenate((_seed_rows(offsets, hashes)[2], anchor[new]))
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])
 
-    return texts.select("w").mapInArrow(kernel, "fp long")
+    return texts.select("w").mapInArrow(trimmed(kernel), "fp long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which the hashes' bits are set (built on the executors)."""
-    bit = F.pmod("fp", F.lit(BITMAP_BITS))
+    """A bitmap in which the bits of a table's hashes are set (built on the executors)."""
+    size = min(BITMAP_BITS, max(LEAST_BITS, 1 << (HASH_BITS * hashes.count()).bit_length()))
+    bit = F.pmod("fp", F.lit(size))
     cells = hashes.groupBy(F.floor(bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, 64L) as int))")).alias("bits"))
     table = cells.toArrow()
-    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[table.column("cell").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -197,12 +199,12 @@ def _seeds(texts: DataFrame, bitmap, id_type: str, min_words: int) -> DataFrame:
             columns = [pa.array(h.view(np.int64)), *(k.take(at) for k in keys), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(again)]
             yield pa.RecordBatch.from_arrays(columns, ["h", "id", "t", "pos", "n", "again"])
 
-    return texts.select("id", "t", "w").mapInArrow(kernel, f"h long, id {id_type}, t int, pos int, n int, again boolean")
+    return texts.select("id", "t", "w").mapInArrow(trimmed(kernel), f"h long, id {id_type}, t int, pos int, n int, again boolean")
 
 
 def _there(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether the hashes' bits are set."""
-    bit = (h % np.uint64(BITMAP_BITS)).astype(np.int64)
+    bit = (h % np.uint64(64 * len(bits))).astype(np.int64)
     return (bits[bit >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -223,16 +225,26 @@ def _places(h: np.ndarray, t: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix64(h + mix64((t.astype(np.int64).view(np.uint64) << np.uint64(32)) + pos.astype(np.uint64)))
 
 
-def _later_places(seeds: DataFrame, several: DataFrame) -> DataFrame:
-    """``fp`` of the places of short seeds that are not their first."""
+def _later_places(seeds: DataFrame, several: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
+    """``fp`` of the places of short seeds that are not their first, but for those that no open pair can have: where one
+    passage (of ``spans``) covers all words that a pair reaches from there."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, t, pos = (batch.column(k).to_numpy() for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(_places(h.view(np.uint64), t, pos).view(np.int64))], ["fp"])
 
+    far = _reach(min_words)[1]
     later = seeds.where(f"n = {K}").join(several.select("h", "src", "st", "y"), "h").where("id <> src OR t <> st OR pos <> y")
-    return later.select("h", "t", "pos").mapInArrow(kernel, "fp long")
+    inside = F.expr(f"exists(spans, s -> s.x0 <= greatest(pos - {far}, 0) AND s.x1 >= pos + {far + K})")
+    later = later.select("id", "t", "h", "pos").join(spans, ["id", "t"], "left").where(~F.coalesce(inside, F.lit(False)))
+    return later.select("h", "t", "pos").mapInArrow(trimmed(kernel), "fp long")
+
+
+def _reach(min_words: int) -> tuple[int, int]:
+    """Words from start to start of the seeds of a pair, at least and at most."""
+    near = max(K, _least(min_words) - K)
+    return near, near + REACH
 
 
 def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None) -> DataFrame:
@@ -240,7 +252,7 @@ def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None)
     texts with their passages so far (``spans``). A pair is ``open`` where a word of either seed is in no passage and both
     have an earlier place. Without ``keys`` only the open ones' hashes, as ``fp``; else the pairs whose bit is set there.
     ``maps`` are bitmaps of repeated seeds and of later places."""
-    near, far = max(K, _least(min_words) - K), max(K, _least(min_words) - K) + REACH
+    near, far = _reach(min_words)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (bits, later), wanted = maps.value, None if keys is None else keys.value
@@ -284,21 +296,19 @@ def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), columns[0].take(own), columns[1].take(own), *numbers], ["k", "id", "t", "x", "d", "open"])
 
     out = "fp long" if keys is None else f"k long, id {id_type}, t int, x int, d int, open boolean"
-    return texts.select("id", "t", "spans", "w").mapInArrow(kernel, out)
+    return texts.select("id", "t", "spans", "w").mapInArrow(trimmed(kernel), out)
 
 
-def _open_matches(texts: DataFrame, found: DataFrame, maps, id_type: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+def _open_matches(texts: DataFrame, spans: DataFrame, maps, id_type: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
     """Matches of open places with all earlier places, by pairs of seeds, and the tables that they are read from."""
-    spans = found.groupBy("id", "t").agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))  # bounded by a text's length
-    spans = shared_table(spans, "spans")
-    side = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans
-    texts = texts.join(side, ["id", "t"], "left")
-    keys = texts.sparkSession.sparkContext.broadcast(_bitmap(_seed_pairs(texts, maps, id_type, min_words)))
+    texts = texts.join(spans, ["id", "t"], "left")
+    opened = shared_table(_seed_pairs(texts, maps, id_type, min_words), "open")
+    keys = texts.sparkSession.sparkContext.broadcast(_bitmap(opened))
     pairs = shared_table(_seed_pairs(texts, maps, id_type, min_words, keys), "pairs")
     # Both sides are read from a table, so that AQE can split the partition of a frequent pair.
     earlier = pairs.select("k", F.col("id").alias("src"), F.col("t").alias("st"), F.col("x").alias("y"), F.col("d").alias("e"))
     met = pairs.where("open").join(earlier, "k").where("src < id OR src = id AND (st < t OR st = t AND y < x AND y + e < x + d)")
-    return met.select("id", "t", "src", "st", "x", "y", F.lit(K).alias("n"), "d", "e"), [spans, pairs]
+    return met.select("id", "t", "src", "st", "x", "y", F.lit(K).alias("n"), "d", "e"), [opened, pairs]
 
 
 def _needed(spans: np.ndarray) -> np.ndarray:
@@ -478,7 +488,10 @@ def _chained(matches: DataFrame, id_type: str, least: int, gap_cost: float) -> D
         both = d > 0
         if both.any():  # many pairs have a seed in common
             x, y, n = (np.concatenate((v, w[both])) for v, w in ((x, x + d), (y, y + e), (n, n)))
-            x, y, n = np.unique(np.column_stack((x, y, n)), axis=0).T
+            order = np.lexsort((n, y, x))
+            x, y, n = x[order], y[order], n[order]
+            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (n[1:] != n[:-1]))
+            x, y, n = x[new], y[new], n[new]
         runs = runs_of(x, y, n)
         found = [runs[chain] for chain in chains_of(runs, least, gap_cost)]
         if found:
@@ -524,7 +537,7 @@ def _chained(matches: DataFrame, id_type: str, least: int, gap_cost: float) -> D
                 yield from pa.Table.from_batches(out).combine_chunks().to_batches()
         yield from flush()
 
-    return matches.mapInArrow(kernel, f"id {id_type}, t int, src {id_type}, st int, x0 int, x1 int, y0 int, y1 int, runs array<int>")
+    return matches.mapInArrow(trimmed(kernel), f"id {id_type}, t int, src {id_type}, st int, x0 int, x1 int, y0 int, y1 int, runs array<int>")
 
 
 def _aligned(sides: DataFrame, id_type: str, min_words: int, identity: float) -> DataFrame:
@@ -544,7 +557,7 @@ def _aligned(sides: DataFrame, id_type: str, min_words: int, identity: float) ->
             numbers = [pa.array([f[k] for f in found], pa.int32()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *numbers], names)
 
-    return sides.mapInArrow(kernel, f"id {id_type}, t int, src {id_type}, x0 int, x1 int, y0 int, y1 int, edits int")
+    return sides.mapInArrow(trimmed(kernel), f"id {id_type}, t int, src {id_type}, x0 int, x1 int, y0 int, y1 int, edits int")
 
 
 def _least(min_words: int) -> int:
@@ -605,12 +618,15 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = shared_table(several.where("rows > 1").select("h", "src", F.shiftright("place", 32).cast("int").alias("st"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("y")), "several")
     matches = seeds.join(several, "h").where("id <> src OR t <> st OR pos <> y").select("id", "t", "src", "st", F.col("pos").alias("x"), "y", "n", F.lit(0).alias("d"), F.lit(0).alias("e"))
     found = _passages(texts, matches, id_type, min_words, identity)
-    maps = spark.sparkContext.broadcast((bitmap.value, _bitmap(_later_places(seeds, several))))
-    drop_shared(seeds, several)
+    spans = shared_table(found.groupBy("id", "t").agg(F.collect_list(F.struct("x0", "x1")).alias("spans")), "spans")  # bounded by a text's length
+    side = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans
+    later = shared_table(_later_places(seeds, several, side, min_words), "later")
+    maps = spark.sparkContext.broadcast((bitmap.value, _bitmap(later)))
+    drop_shared(seeds, several, later)
 
-    matches, read_from = _open_matches(texts, found, maps, id_type, min_words)
+    matches, read_from = _open_matches(texts, side, maps, id_type, min_words)
     rest = _passages(texts, matches, id_type, min_words, identity, PAIR_GAP_COST)
-    drop_shared(*read_from)
+    drop_shared(spans, *read_from)
     found = found.unionByName(rest)
     # A text's passages are bounded by its length.
     before = Window.partitionBy("id", "t").orderBy("x0", F.desc("x1"), "edits", "src", "y0", "y1").rowsBetween(Window.unboundedPreceding, -1)

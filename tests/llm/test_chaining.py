@@ -228,3 +228,32 @@ def test_stretches_of_one_phrase_count_every_few_words():
     kept, start = chaining._thinned(row, pos, h)
     assert list(zip(row[kept].tolist(), pos[kept].tolist(), strict=True)) == [(0, x) for x in range(0, 40, 8)] + [(1, 0), (1, 20)]
     assert start.tolist() == [True, False, False, False, False, True, True]
+
+
+def test_bitmap_grows_with_its_hashes(spark):
+    """At a fixed size it fills up, and ever more places count as repeated."""
+    bits = chaining._bitmap(spark.range(3_000_000).selectExpr("xxhash64(id) AS fp"))
+    assert 0 < np.bitwise_count(bits).sum() <= 64 * len(bits) / chaining.HASH_BITS
+
+
+def test_full_bitmaps_change_no_passage(spark, monkeypatch):
+    gen = random.Random(4)
+    fresh = lambda n: [f"f{gen.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(80)
+    rows = [fresh(30) + passage[k : k + 16] + fresh(30) for k in range(0, 80, 16)]
+    rows += [fresh(25) + passage[:40] + fresh(1) + passage[41:] + fresh(25) for _ in range(3)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    want = sorted(map(tuple, chaining.repeated_passages(df).collect()))
+    monkeypatch.setattr(chaining, "BITMAP_BITS", 64)
+    assert {r[0] for r in want} == {6, 7}
+    assert sorted(map(tuple, chaining.repeated_passages(df).collect())) == want
+
+
+def test_later_places_without_an_open_pair_are_left_out(spark):
+    """A pair reaches 65 words: a passage that covers them all on both sides leaves nothing open there."""
+    seeds = spark.createDataFrame([(1, i, 0, x, chaining.K, False) for i, x in ((1, 0), (2, 0), (2, 64), (2, 130), (2, 131), (2, 150), (3, 64))], "h long, id long, t int, pos int, n int, again boolean")
+    several = spark.createDataFrame([(1, 1, 0, 0)], "h long, src long, st int, y int")
+    spans = spark.createDataFrame([(2, 0, [(0, 200)])], "id long, t int, spans array<struct<x0: int, x1: int>>")
+    got = sorted(r.fp for r in chaining._later_places(seeds, several, spans, 50).collect())
+    places = chaining._places(np.ones(3, np.uint64), np.zeros(3, np.int32), np.array([131, 150, 64], np.int32))
+    assert got == sorted(places.view(np.int64).tolist())
