@@ -19,12 +19,13 @@
 
 6. What the first places leave open: a passage whose seeds were first seen in several texts. Seeds that are not wholly in
    a passage so far meet every earlier place, not the first alone, where a second seed is shared that a chain of the least
-   span reaches from it: the key is the pair of seeds, so a frequent phrase alone makes no match. Steps 4 and 5 follow once
-   more, for all texts that share a pair. Where a phrase follows itself over and over, it counts every ``STRIDE`` words.
+   span reaches from it: the key is the pair of seeds, so a frequent phrase alone makes no match. Texts are joined, with
+   the pair's places in each; the places meet in the kernel of the chains. Steps 4 and 5 follow once more, for all texts
+   that share a pair. Where a phrase follows itself over and over, it counts every ``STRIDE`` words.
 
 A passage is reported at every place but its first, which keeps it. In the first round matches are bounded by a
-document's length; in the second by the places of a pair of seeds that are still open, times all its places. Words are
-compared by 32 bits of their hashes.
+document's length; in the second by the places of a pair of seeds that are still open, times all its places, and rows by
+its texts with open places, times all its texts. Words are compared by 32 bits of their hashes.
 
 Defined cases: NULL and short texts have no passage; rows with a NULL id take no part; rows that repeat id and text are
 one document, rows that repeat an id with another text are documents of their own with the same id; a text that repeats
@@ -33,8 +34,9 @@ itself reports its later places with itself as the source, which may overlap the
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +63,13 @@ STRIDE = 8
 #: Bits of a bitmap for each hash in it, rounded up to a power of two, but at least (8 MB) and at most (16 MB) so many. A
 #: full one lets more rows through, which find no partner later.
 HASH_BITS, LEAST_BITS, BITMAP_BITS = 32, 1 << 26, 1 << 27
+#: Bits of a pair of seeds: there are some tens of pairs a word, so a share of them that pass by chance weighs more.
+KEY_PROBES = 2
 BROADCAST_ROWS = 400_000
 #: Words of one piece of the seed kernels.
 PIECE_WORDS = 1 << 17
+#: Matches that are worked through at once, where one text's matches with another are not more.
+MATCHES = 1 << 16
 
 
 def grams(offsets: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +87,13 @@ def _smallest(offsets: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.
     the k-mers' documents."""
     n = len(hashes)
     doc_end = np.repeat(offsets[1:], np.diff(offsets))
-    best, at, done = hashes.copy(), np.arange(n), 1
+    place = np.arange(n)
+    best, at, done = hashes.copy(), place.copy(), 1
     while done < window:  # windows of ``done`` k-mers, joined with those that end the larger windows
         step = min(done, window - done)
-        other = np.arange(n) + step
-        inside = np.flatnonzero(other < doc_end)
-        far = inside + step
-        better = best[far] <= best[inside]
-        inside, far = inside[better], far[better]
-        best[inside], at[inside] = best[far], at[far]
+        better = (best[step:] <= best[:-step]) & (place[step:] < doc_end[:-step])
+        for own in (best, at):
+            own[:-step] = np.where(better, own[step:], own[:-step])
         done += step
     return at, doc_end
 
@@ -101,7 +105,9 @@ def winnowed(offsets: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray
     # Only full windows count, and the whole document where it is shorter than a window.
     start = np.arange(n) - np.repeat(offsets[:-1], count)
     full = (np.arange(n) + window <= doc_end) | (start == 0)
-    return np.unique(at[full])
+    chosen = np.zeros(n, bool)
+    chosen[at[full]] = True
+    return np.flatnonzero(chosen)
 
 
 def _seed_rows(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +163,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array],
             yield [part.column(k) for k in range(last)], offsets, mix64(np.frombuffer(flat, np.uint32).astype(np.uint64) + np.uint64(1))
 
 
-def _seed_hashes(texts: DataFrame, min_words: int) -> DataFrame:
+def _seed_hashes(min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of the hashes of all seeds and anchors (``fp``) from batches of word arrays."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, offsets, hashes in _pieces(batches):
             *_, at, anchor = _passage_rows(offsets, hashes, min_words)
@@ -165,17 +173,19 @@ def _seed_hashes(texts: DataFrame, min_words: int) -> DataFrame:
             fp = np.concatenate((_seed_rows(offsets, hashes)[2], anchor[new]))
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64))], ["fp"])
 
-    return texts.select("w").mapInArrow(trimmed(kernel), "fp long")
+    return kernel
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap in which the bits of a table's hashes are set (built on the executors)."""
+def _bitmap(hashes: DataFrame, probes: int = 1) -> np.ndarray:
+    """A bitmap in which the bits of a table's hashes are set (built on the executors): one a hash or, with two ``probes``,
+    another by its upper half."""
     size = min(BITMAP_BITS, max(LEAST_BITS, 1 << (HASH_BITS * hashes.count()).bit_length()))
-    bit = F.pmod("fp", F.lit(size))
-    cells = hashes.groupBy(F.floor(bit / 64).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(fp, 64L) as int))")).alias("bits"))
-    table = cells.toArrow()
     out = np.zeros(size // 64, np.uint64)
-    out[table.column("cell").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    for k in range(probes):
+        own = hashes.select(F.shiftrightunsigned("fp", 32 * k).alias("fp"))
+        cells = own.groupBy(F.floor(F.pmod("fp", F.lit(size)) / 64).cast("int").alias("cell"))
+        table = cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(fp, 64L) as int))")).alias("bits")).toArrow()
+        out[table.column("cell").to_numpy()] |= table.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -202,10 +212,13 @@ def _seeds(texts: DataFrame, bitmap, id_type: str, min_words: int) -> DataFrame:
     return texts.select("id", "t", "w").mapInArrow(trimmed(kernel), f"h long, id {id_type}, t int, pos int, n int, again boolean")
 
 
-def _there(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _there(bits: np.ndarray, h: np.ndarray, probes: int = 1) -> np.ndarray:
     """Whether the hashes' bits are set."""
     bit = (h % np.uint64(64 * len(bits))).astype(np.int64)
-    return (bits[bit >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
+    there = (bits[bit >> 6] >> (h & np.uint64(63))) & np.uint64(1) == 1
+    if probes > 1:
+        there[there] = _there(bits, h[there] >> np.uint64(32), probes - 1)
+    return there
 
 
 def _thinned(row: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +261,11 @@ def _reach(min_words: int) -> tuple[int, int]:
 
 
 def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None) -> DataFrame:
-    """``(k, id, t, x, d, open)`` of the pairs of repeated seeds that a chain could span, ``d`` words from start to start, of
-    texts with their passages so far (``spans``). A pair is ``open`` where a word of either seed is in no passage and both
-    have an earlier place. Without ``keys`` only the open ones' hashes, as ``fp``; else the pairs whose bit is set there.
-    ``maps`` are bitmaps of repeated seeds and of later places."""
+    """``(k, id, t, open, every)`` of the pairs of repeated seeds that a chain could span, of texts with their passages so
+    far (``spans``): one row a pair and text, with all the places it has there and the open ones, as two numbers each (start
+    and words from start to start). A place is open where a word of either seed is in no passage and both have an earlier
+    place. Without ``keys`` only the open ones' hashes, as ``fp``; else the pairs whose bit is set there. ``maps`` are
+    bitmaps of repeated seeds and of later places."""
     near, far = _reach(min_words)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +297,7 @@ def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None)
                 one, two = one[pair], two[pair]
                 open_ = (uncovered[one] | uncovered[two]) & again[one] & again[two]
                 key = mix64(h[one] + mix64(h[two] + np.uint64(1)))
-                hit = open_ if wanted is None else _there(wanted, key)
+                hit = open_ if wanted is None else _there(wanted, key, KEY_PROBES)
                 parts.append((key[hit], one[hit], two[hit], open_[hit]))
             if not parts:
                 continue
@@ -291,24 +305,100 @@ def _seed_pairs(texts: DataFrame, maps, id_type: str, min_words: int, keys=None)
             if wanted is None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(key).view(np.int64))], ["fp"])
                 continue
-            own = pa.array(row[one])
-            numbers = [pa.array(pos[one], pa.int32()), pa.array(pos[two] - pos[one], pa.int32()), pa.array(open_)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), columns[0].take(own), columns[1].take(own), *numbers], ["k", "id", "t", "x", "d", "open"])
-
-    out = "fp long" if keys is None else f"k long, id {id_type}, t int, x int, d int, open boolean"
+            order = np.lexsort((one, key, row[one]))
+            key, one, two, open_ = key[order], one[order], two[order], open_[order]
+            own = row[one]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)])
+            places = np.column_stack((pos[one], pos[two] - pos[one]))
+            opens = np.append(0, np.cumsum(open_))
+            lists = [_packed(places[open_], opens[np.append(first, len(key))]), _packed(places, np.append(first, len(key)))]
+            at = pa.array(own[first])
+            yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), columns[0].take(at), columns[1].take(at), *lists], ["k", "id", "t", "open", "every"])
+
+    out = "fp long" if keys is None else f"k long, id {id_type}, t int, open binary, every binary"
     return texts.select("id", "t", "spans", "w").mapInArrow(trimmed(kernel), out)
 
 
+def _packed(places: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of two numbers as byte strings, cut at ``ends``."""
+    data = np.ascontiguousarray(places, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of two numbers of all byte strings, and where each string's begin and end."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(flat, np.int32).reshape(-1, 2), (ends - ends[0]).astype(np.int64) // 8
+
+
+def _turns(batch: pa.RecordBatch) -> np.ndarray:
+    """Where two texts, the first four columns, are others than in the row before."""
+    new = np.zeros(max(batch.num_rows - 1, 0), bool)
+    for k in range(4):
+        new |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
+    return np.append(True, new)
+
+
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``MATCHES`` rows or a little more, without empty ones."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if held and (batch is None or sum(b.num_rows for b in held) >= MATCHES):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches ``(id, t, src, st, x, y, n)`` of both seeds at each open place of a pair with those at every place in the
+    source, in batches of bounded size; in one text with the places before it. Many pairs have a seed in common: a batch
+    has each match of two texts once."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        (opens, at), (every, to) = _unpacked(batch.column(4)), _unpacked(batch.column(5))
+        same = pc.equal(batch.column(0), batch.column(2)).to_numpy(zero_copy_only=False)
+        same &= batch.column(1).to_numpy() == batch.column(3).to_numpy()
+        texts = np.cumsum(_turns(batch))
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        size = np.diff(to)[rows]
+        total, start = np.cumsum(size), 0
+        while start < len(rows):
+            done = int(total[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, done + MATCHES, side="right")))
+            part = slice(start, stop)
+            row = np.repeat(rows[part], size[part])
+            x, d = np.repeat(opens[part], size[part], axis=0).T
+            y, e = every[to[row] + np.arange(len(row)) + done - np.repeat(total[part] - size[part], size[part])].T
+            start = stop
+            kept = np.flatnonzero(~same[row] | (y < x) & (y + e < x + d))
+            row, x, y, d, e = (v[kept] for v in (row, x, y, d, e))
+            row, x, y = np.append(row, row), np.append(x, x + d), np.append(y, y + e)
+            order = np.lexsort((y, x, texts[row]))
+            row, x, y = row[order], x[order], y[order]
+            new = (np.diff(texts[row]) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)
+            row, x, y = (v[np.append(True, new)[: len(v)]] for v in (row, x, y))
+            keys = [batch.column(k).take(pa.array(row)) for k in range(4)]
+            numbers = [pa.array(x), pa.array(y), pa.array(np.full(len(row), K, np.int32))]
+            yield pa.RecordBatch.from_arrays([*keys, *numbers], ["id", "t", "src", "st", "x", "y", "n"])
+
+
 def _open_matches(texts: DataFrame, spans: DataFrame, maps, id_type: str, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Matches of open places with all earlier places, by pairs of seeds, and the tables that they are read from."""
+    """``(id, t, src, st, open, every)``: a pair's open places in a text, to be matched with all its places in an earlier text
+    or the same one; and the tables that this is read from."""
     texts = texts.join(spans, ["id", "t"], "left")
     opened = shared_table(_seed_pairs(texts, maps, id_type, min_words), "open")
-    keys = texts.sparkSession.sparkContext.broadcast(_bitmap(opened))
+    keys = texts.sparkSession.sparkContext.broadcast(_bitmap(opened, KEY_PROBES))
     pairs = shared_table(_seed_pairs(texts, maps, id_type, min_words, keys), "pairs")
-    # Both sides are read from a table, so that AQE can split the partition of a frequent pair.
-    earlier = pairs.select("k", F.col("id").alias("src"), F.col("t").alias("st"), F.col("x").alias("y"), F.col("d").alias("e"))
-    met = pairs.where("open").join(earlier, "k").where("src < id OR src = id AND (st < t OR st = t AND y < x AND y + e < x + d)")
-    return met.select("id", "t", "src", "st", "x", "y", F.lit(K).alias("n"), "d", "e"), [opened, pairs]
+    # Texts meet, not places. Both sides are read from a table, so that AQE can split the partition of a frequent pair.
+    opened_texts = pairs.where("length(open) > 0")
+    earlier = pairs.select("k", F.col("id").alias("src"), F.col("t").alias("st"), "every")
+    met = opened_texts.select("k", "id", "t", "open").join(earlier, "k").where("src < id OR src = id AND st < t")
+    own = opened_texts.where("length(every) > 8").selectExpr("id", "t", "id AS src", "t AS st", "open", "every")
+    return met.select("id", "t", "src", "st", "open", "every").unionByName(own), [opened, pairs]
 
 
 def _needed(spans: np.ndarray) -> np.ndarray:
@@ -342,13 +432,21 @@ def runs_of(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
         stay = np.ones(len(x), bool)
         stay[whole] = np.repeat(keep, count)
         x, y, n = x[stay], y[stay], n[stay]
-    turn = np.append(False, np.diff(x - y) != 0)
+    return _merged(np.zeros(len(x), np.int64), x, y, n)[1]
+
+
+def _merged(group: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups and the runs of matches that are close to each other on a diagonal of a group."""
+    order = np.lexsort((x, x - y, group))
+    group, x, y, n = group[order], x[order], y[order], n[order]
+    turn = np.append(False, (np.diff(x - y) != 0) | (np.diff(group) != 0))
     base = np.cumsum(turn) * (x.max() + n.max() + 1)  # the ends of one diagonal do not reach into the next
     end = np.maximum.accumulate(base + x + n) - base
     first = np.flatnonzero(np.append(True, turn[1:] | (x[1:] - end[:-1] > WINDOW)))
     last = np.append(first[1:], len(x)) - 1
     out = np.column_stack((x[first], end[last], y[first], end[last] - x[first] + y[first]))
-    return out[np.lexsort((out[:, 2], out[:, 0]))]
+    order = np.lexsort((out[:, 2], out[:, 0], group[first]))
+    return group[first][order], out[order]
 
 
 class _PrefixMax:
@@ -480,61 +578,70 @@ def aligned(a: np.ndarray, b: np.ndarray, runs: list[list[int]], min_words: int,
 
 
 def _chained(matches: DataFrame, id_type: str, least: int, gap_cost: float) -> DataFrame:
-    """Chains of matches ``(id, t, src, st, x, y, n, d, e)`` that are sorted by both texts: their extent in both, and their
-    runs as four numbers each. With ``d`` a row is two matches, the second one ``d`` and ``e`` words later. Groups pass one after another, so a task holds the matches of one pair of texts."""
+    """Chains of matches ``(id, t, src, st, x, y, n)``, or of what :func:`_open_matches` gives, sorted by both texts: their
+    extent in both, and their runs as four numbers each. Groups pass one after another, so a task holds the matches of one
+    pair of texts, or of one batch."""
+    pairs = "open" in matches.columns
     names = ["id", "t", "src", "st", "x0", "x1", "y0", "y1", "runs"]
 
-    def chains(keys: list[pa.Array], x: np.ndarray, y: np.ndarray, n: np.ndarray, d: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
-        both = d > 0
-        if both.any():  # many pairs have a seed in common
-            x, y, n = (np.concatenate((v, w[both])) for v, w in ((x, x + d), (y, y + e), (n, n)))
-            order = np.lexsort((n, y, x))
-            x, y, n = x[order], y[order], n[order]
-            new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (n[1:] != n[:-1]))
-            x, y, n = x[new], y[new], n[new]
-        runs = runs_of(x, y, n)
-        found = [runs[chain] for chain in chains_of(runs, least, gap_cost)]
+    def chains(runs: np.ndarray) -> list[np.ndarray]:
+        if len(runs) == 1:
+            return [runs] if runs[0, 1] - runs[0, 0] >= least else []
+        return [runs[own] for own in chains_of(runs, least, gap_cost)]
+
+    def rows_of(keys: list[pa.Array], at: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if found:
-            sides = [pa.array([own[i, k] for own in found], pa.int32()) for i, k in ((0, 0), (-1, 1), (0, 2), (-1, 3))]
-            at = pa.array([0] * len(found))
-            yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), *sides, pa.array([own.reshape(-1) for own in found], pa.list_(pa.int32()))], names)
+            ends = np.append(0, np.cumsum([len(own) for own in found]))
+            flat, first, last = np.concatenate(found), ends[:-1], ends[1:] - 1
+            sides = [pa.array(v, pa.int32()) for v in (flat[first, 0], flat[last, 1], flat[first, 2], flat[last, 3])]
+            runs = pa.ListArray.from_arrays(pa.array(4 * ends, pa.int32()), pa.array(flat.reshape(-1), pa.int32()))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(k.take(take) for k in keys), *sides, runs], names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                x, y, n, d, e = (np.concatenate([h[k] for h in held]) for k in range(1, 6))
+                x, y, n = (np.concatenate([h[k] for h in held]) for k in range(1, 4))
                 keys = held[0][0]
                 held.clear()
-                if (x + d + n).max() - x.min() >= least:
-                    yield from chains(keys, x, y, n, d, e)
+                if (x + n).max() - x.min() >= least:
+                    found = chains(runs_of(x, y, n))
+                    yield from rows_of(keys, [0] * len(found), found)
 
-        for batch in batches:
+        for batch in _larger(_met(batches) if pairs else batches):
             rows = batch.num_rows
-            if not rows:
-                continue
-            new = np.zeros(rows - 1, bool)
-            for k in range(4):
-                new |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).to_numpy(zero_copy_only=False)
-            cuts = np.concatenate(([0], np.flatnonzero(new) + 1))
-            x, y, n, d, e = (batch.column(k).to_numpy().astype(np.int64) for k in range(4, 9))
-            extent = np.maximum.reduceat(x + d + n, cuts) - np.minimum.reduceat(x, cuts)
+            cuts = np.flatnonzero(_turns(batch))
+            x, y, n = (batch.column(k).to_numpy().astype(np.int64) for k in range(4, 7))
+            extent = np.maximum.reduceat(x + n, cuts) - np.minimum.reduceat(x, cuts)
             stops = np.append(cuts[1:], rows)
-            out = []
             if held and any(held[0][0][k][0] != batch.column(k)[0] for k in range(4)):
-                out += flush()
-            for i in np.flatnonzero((extent >= least) | (cuts == 0) | (stops == rows)).tolist():
+                yield from flush()
+            ends = [i for i in {0, len(cuts) - 1} if i and stops[i] == rows or not i and (held or len(cuts) == 1)]
+            for i in sorted(ends):  # the groups that may go on before or after this batch
                 start, stop = int(cuts[i]), int(stops[i])
-                keys = [batch.column(k).slice(start, 1) for k in range(4)]
-                if start == 0 and held or stop == rows:
-                    held.append((keys, *(v[start:stop] for v in (x, y, n, d, e))))
-                    if stop < rows:
-                        out += flush()
-                elif extent[i] >= least:
-                    out += chains(keys, *(v[start:stop] for v in (x, y, n, d, e)))
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                # Copies, as a part of a batch keeps all of it in memory.
+                keys = [batch.column(k).take(pa.array([start])) for k in range(4)]
+                held.append((keys, *(v[start:stop].copy() for v in (x, y, n))))
+                if stop < rows:
+                    yield from flush()
+            inner = extent >= least
+            inner[ends] = False
+            long = inner & (np.maximum.reduceat(n, cuts) > K)
+            groups = [(i, runs_of(*(v[cuts[i] : stops[i]] for v in (x, y, n)))) for i in np.flatnonzero(long).tolist()]
+            group = np.repeat(np.arange(len(cuts)), stops - cuts)
+            short = np.flatnonzero((inner & ~long)[group])
+            if len(short):
+                group, runs = _merged(group[short], x[short], y[short], n[short])
+                first = np.flatnonzero(np.append(True, np.diff(group) != 0))
+                groups += zip(group[first].tolist(), np.split(runs, first[1:]), strict=True)
+            at, found = [], []
+            for i, runs in groups:
+                own = chains(runs)
+                at += [int(cuts[i])] * len(own)
+                found += own
+            yield from rows_of([batch.column(k) for k in range(4)], at, found)
         yield from flush()
 
     return matches.mapInArrow(trimmed(kernel), f"id {id_type}, t int, src {id_type}, st int, x0 int, x1 int, y0 int, y1 int, runs array<int>")
@@ -605,7 +712,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = hashed.join(side, "digest", "left").where("src IS NULL OR id = src").select("id", "t", "w")
 
     expected = texts.agg(F.sum(F.length("w"))).first()[0] or 0  # four bytes a word, less than one seed a word
-    repeated = shared_table(repeated_fingerprints(_seed_hashes(texts, min_words), ranges_for(expected // 4)), "fingerprints")
+    repeated = shared_table(repeated_fingerprints(texts.select("w"), ranges_for(expected // 4), _seed_hashes(min_words)), "fingerprints")
     bitmap = spark.sparkContext.broadcast(_bitmap(repeated))
     drop_shared(repeated)
     seeds = shared_table(_seeds(texts, bitmap, id_type, min_words), "seeds")
@@ -616,7 +723,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.when(~F.col("again"), F.col("id"))
     several = seeds.groupBy("h").agg(F.min("id").alias("src"), F.min_by(place, first).alias("place"), F.count(F.lit(1)).alias("rows"))
     several = shared_table(several.where("rows > 1").select("h", "src", F.shiftright("place", 32).cast("int").alias("st"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("y")), "several")
-    matches = seeds.join(several, "h").where("id <> src OR t <> st OR pos <> y").select("id", "t", "src", "st", F.col("pos").alias("x"), "y", "n", F.lit(0).alias("d"), F.lit(0).alias("e"))
+    matches = seeds.join(several, "h").where("id <> src OR t <> st OR pos <> y").select("id", "t", "src", "st", F.col("pos").alias("x"), "y", "n")
     found = _passages(texts, matches, id_type, min_words, identity)
     spans = shared_table(found.groupBy("id", "t").agg(F.collect_list(F.struct("x0", "x1")).alias("spans")), "spans")  # bounded by a text's length
     side = F.broadcast(spans) if found.count() <= BROADCAST_ROWS else spans

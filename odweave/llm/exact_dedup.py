@@ -18,7 +18,7 @@ then keeps one of them). Extra columns never meet names of this module: only id
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odweave.llm.quotient import CountingQuotientFilter
-from odweave.llm.text import clean, slices, small_batches
+from odweave.llm.text import clean, slices, small_batches, trimmed
 from odweave.operators.iterate import shared_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,12 +73,13 @@ def ranges_for(rows: int) -> int:
     return max(8, -(-rows // RANGE_ROWS))
 
 
-def repeated_fingerprints(fingerprints: DataFrame, ranges: int) -> DataFrame:
-    """Fingerprints (column ``fp``) that occur more than once, through merged counting quotient filters."""
+def repeated_fingerprints(rows: DataFrame, ranges: int, hashed: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """Fingerprints (column ``fp``) that occur more than once, through merged counting quotient filters. With ``hashed``
+    they are what it makes of the rows' batches, in the worker that builds the filter."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.uint64)]
-        for batch in batches:
+        for batch in hashed(batches) if hashed else batches:
             held.append(batch.column(0).to_numpy().view(np.uint64))
         every = np.sort(np.concatenate(held))
         # Quotient ranges are contiguous, so a slice of the sorted fingerprints is the filter of its range.
@@ -92,7 +93,7 @@ def repeated_fingerprints(fingerprints: DataFrame, ranges: int) -> DataFrame:
         merged = CountingQuotientFilter.merge(CountingQuotientFilter.from_bytes(b) for b in pdf["cqf"])
         return pd.DataFrame({"fp": merged.repeated().view(np.int64)})
 
-    built = fingerprints.select("fp").mapInArrow(build, "rng int, cqf binary")
+    built = rows.mapInArrow(trimmed(build), "rng int, cqf binary") if hashed else rows.select("fp").mapInArrow(build, "rng int, cqf binary")
     return built.groupBy("rng").applyInPandas(merge, "fp long")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from odweave.llm import chaining
@@ -257,3 +258,79 @@ def test_later_places_without_an_open_pair_are_left_out(spark):
     got = sorted(r.fp for r in chaining._later_places(seeds, several, spans, 50).collect())
     places = chaining._places(np.ones(3, np.uint64), np.zeros(3, np.int32), np.array([131, 150, 64], np.int32))
     assert got == sorted(places.view(np.int64).tolist())
+
+
+def test_open_places_meet_texts_and_make_the_matches_of_all_places(spark, monkeypatch):
+    """Loops have many places of each pair: the join has one row for a pair and two texts, and no place is lost."""
+    gen = random.Random(12)
+    fresh = lambda n: [f"p{gen.randrange(10**9)}" for _ in range(n)]
+    line = fresh(31)
+    rows = [(i, " ".join(fresh(i) + line * (4 + i) + fresh(9) + line[:20])) for i in (3, 5, 8)] + [(9, "same " * 60), (11, "same " * 90)]
+    texts = chaining._hashed(spark.createDataFrame(rows, "id long, text string"), "bigint").select("id", "t", "w")
+    every = np.full(1, 2**64 - 1, np.uint64)  # all seeds count as repeated, all places as later ones
+    spans = spark.createDataFrame([], "id long, t int, spans array<struct<x0: int, x1: int>>")
+    monkeypatch.setattr(chaining, "_bitmap", lambda hashes, probes: every)
+    met, read_from = chaining._open_matches(texts, spans, spark.sparkContext.broadcast((every, every)), "bigint", 50)
+    table = met.toArrow()
+    chaining.drop_shared(*read_from)
+
+    near, far = chaining._reach(50)
+    places = {}  # of each pair of seeds in each text
+    for i, _, w in sorted(tuple(r) for r in texts.collect()):
+        ((_, offsets, hashes),) = chaining._pieces([pa.RecordBatch.from_pydict({"w": [bytes(w)]})])
+        row, pos, h = chaining._seed_rows(offsets, hashes)
+        kept, start = chaining._thinned(row, pos, h)
+        seeds = list(zip(pos[kept].tolist(), h[kept].tolist(), start.tolist(), strict=True))
+        for x, one, new in seeds:
+            for z, two, _ in seeds:
+                if near <= z - x <= far and (one != two or new):
+                    places.setdefault((one, two), {}).setdefault(i, []).append((x, z))
+    want, joined = set(), 0
+    for texts_of in places.values():
+        for a, own in texts_of.items():
+            for b, others in texts_of.items():
+                joined += b < a or b == a and len(own) > 1
+                for (x, x2), (y, y2) in ((p, q) for p in own for q in others if b < a or b == a and q[0] < p[0] and q[1] < p[1]):
+                    want |= {(a, b, x, y), (a, b, x2, y2)}
+    assert table.num_rows == joined < len(want) / 2
+    for size in (1, 50, 1 << 16):
+        monkeypatch.setattr(chaining, "MATCHES", size)
+        found = [b for b in chaining._met(table.to_batches()) if b.num_rows]
+        assert {(r["id"], r["src"], r["x"], r["y"]) for b in found for r in b.to_pylist()} == want
+
+
+def test_chains_do_not_depend_on_batches(monkeypatch):
+    """All groups of a batch are merged at once; those at its ends wait for the next one."""
+    gen = np.random.default_rng(9)
+    rows = []
+    for group in range(60):
+        for _ in range(int(gen.integers(1, 9))):
+            x, shift = int(gen.integers(0, 90)), int(gen.integers(-2, 3))
+            rows.append((group // 7, 0, group % 7, 0, x, x + shift + 5, 50 if group % 5 == 0 and gen.random() < 0.4 else chaining.K))
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int32()] * 2 + [pa.int32()] * 3, strict=True)], names=["id", "t", "src", "st", "x", "y", "n"])
+
+    class Kernel:
+        columns = table.column_names
+
+        def mapInArrow(self, kernel, schema):  # noqa: N802
+            return kernel
+
+    want = []
+    for key in sorted({r[:4] for r in rows}):
+        runs = chaining.runs_of(*(np.array(c) for c in zip(*(r[4:] for r in rows if r[:4] == key), strict=True)))
+        for own in chaining.chains_of(runs, 30, chaining.GAP_COST):
+            part = runs[own]
+            want.append((*key, int(part[0, 0]), int(part[-1, 1]), int(part[0, 2]), int(part[-1, 3]), part.reshape(-1).tolist()))
+    assert len(want) > 20
+    for size in (1, 5, 17, 1 << 16):
+        monkeypatch.setattr(chaining, "MATCHES", size)
+        out = chaining._chained(Kernel(), "bigint", 30, chaining.GAP_COST)(iter(table.to_batches(max_chunksize=size)))
+        assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == sorted(want)
+
+
+def test_few_pairs_of_seeds_pass_by_chance(spark):
+    """With one bit a hash 1.5 % of all others pass, so rows without a partner grow with the square of the input."""
+    bits = chaining._bitmap(spark.range(1_000_000).selectExpr("xxhash64(id) AS fp"), chaining.KEY_PROBES)
+    table = spark.range(3_000_000).selectExpr("xxhash64(id) AS fp").toArrow()
+    there = chaining._there(bits, table.column(0).to_numpy().view(np.uint64), chaining.KEY_PROBES)
+    assert there[:1_000_000].all() and there[1_000_000:].mean() < 0.002
